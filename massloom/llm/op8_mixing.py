@@ -106,7 +106,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
-         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS size,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(concat('mix', chr(1), coalesce(CAST(doc_id AS VARCHAR), ''), chr(1), coalesce(text, ''))) AS o
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
