@@ -40,3 +40,9 @@ def words_of(text: Column) -> Column:
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % n
+
+
+def at_hand(table: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """A table of statistics by group, marked for broadcast if it is counted to be small; else
+    as it is, for a shuffled join."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from massloom.llm.common import cut_lineage, read_table
+from massloom.llm.common import at_hand, cut_lineage, read_table
 from massloom.llm.text_stats import with_text_stats
 
 #: Units of a transformed statistic per 1.0; the vectors are whole numbers of these.
@@ -109,30 +109,49 @@ def concentrate(rows: DataFrame, est: DataFrame, subset: float) -> DataFrame:
     return kept.groupBy("grp").agg(*(F.sum(k).alias(k) for k in _moments(F.lit(1))))
 
 
-def grouped(rows: DataFrame, least: int) -> DataFrame:
-    """Adds ``grp``: language and source, or the small sources of a language, or the small languages."""
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """Adds _l and _s, never null: what language and source are called here."""
     key = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c)))
-    rows = rows.withColumn("_l", key("lang")).withColumn("_s", key("source"))
-    sizes = rows.where(~F.col("base_failed")).groupBy("_l", "_s").count()
+    return rows.withColumn("_l", key("lang")).withColumn("_s", key("source"))
+
+
+def group_names(sound: DataFrame, least: int) -> DataFrame:
+    """(_l, _s, grp): language and source, or the small sources of a language, or the small languages."""
+    sizes = sound.groupBy("_l", "_s").count()
     sizes = sizes.withColumn("small", F.sum(F.when(F.col("count") < least, F.col("count"))).over(W.partitionBy("_l")))
-    names = sizes.select("_l", "_s", F.when(F.col("count") >= least, F.concat_ws("\t", F.lit("s"), "_l", "_s")).when(F.col("small") >= least, F.concat_ws("\t", F.lit("l"), "_l")).otherwise(F.lit("all")).alias("grp"))
-    return rows.join(names, ["_l", "_s"], "left").drop("_l", "_s")
+    name = F.when(F.col("count") >= least, F.concat_ws("\t", F.lit("s"), "_l", "_s")).when(F.col("small") >= least, F.concat_ws("\t", F.lit("l"), "_l")).otherwise(F.lit("all"))
+    return sizes.select("_l", "_s", name.alias("grp"))
 
 
-def quality_verdicts(docs: DataFrame, keep: list[str], text_col: str = "text", cutoff: float = CUTOFF, subset: float = SUBSET, least_rows: int = LEAST_ROWS, steps: int = STEPS) -> DataFrame:
-    """The columns of ``keep`` and the statistics, base_failed, d2 and kept. ``docs`` has lang and source."""
-    inner = list(dict.fromkeys([*keep, "lang", "source"]))
-    stats = with_text_stats(docs, text_col, inner)
+def _measured(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    rows = cut_lineage(vectors(stats.withColumn("base_failed", failed)))
-    rows = grouped(rows, least_rows)
-    sound = rows.where(~F.col("base_failed")).select("grp", *(f"x{i}" for i in range(len(STATS))))
+    own = docs.select(*(F.col(c).alias(f"_keep_{c}") for c in keep), "lang", "source", F.col(text_col).alias("_text"))
+    return vectors(with_text_stats(own, "_text", [*(f"_keep_{c}" for c in keep), "lang", "source"]).withColumn("base_failed", failed))
+
+
+def fit_estimates(rows: DataFrame, subset: float, least_rows: int, steps: int) -> DataFrame:
+    """Per (_l, _s): the estimate of its group, as _n, m0.. and l00.."""
+    sound = _with_keys(rows.where(~F.col("base_failed"))).select("_l", "_s", *(f"x{i}" for i in range(len(STATS))))
+    names = cut_lineage(group_names(sound, least_rows))
+    sound = sound.join(at_hand(names), ["_l", "_s"])
     est = estimate(sound.groupBy("grp").agg(*(c.alias(k) for k, c in _moments(F.lit(1)).items())), 1.0)
     for _ in range(steps):
-        est = estimate(concentrate(sound, est, subset), CONSISTENCY)
-    last = with_distance(rows.join(est.withColumnRenamed("n", "_n"), "grp", "left"))
+        est = estimate(concentrate(sound, at_hand(cut_lineage(est)), subset), CONSISTENCY)
+    return cut_lineage(names.join(est, "grp").withColumnRenamed("n", "_n").drop("grp"))
+
+
+def quality_verdicts(docs: DataFrame, keep: list[str], text_col: str = "text", cutoff: float = CUTOFF, subset: float = SUBSET, least_rows: int = LEAST_ROWS, steps: int = STEPS, wide: bool = False) -> DataFrame:
+    """The columns of ``keep`` and the statistics, base_failed, d2 and kept. ``docs`` has lang and source.
+
+    What is kept between the steps is narrow; with ``wide``, the columns of ``keep`` aren't in
+    it: the statistics are taken once more beside them, and no text is shuffled or stored.
+    """
+    rows = cut_lineage(_measured(docs, [] if wide else keep, text_col))
+    est = fit_estimates(rows, subset, least_rows, steps)
+    last = with_distance(_with_keys(_measured(docs, keep, text_col) if wide else rows).join(at_hand(est), ["_l", "_s"], "left"))
     verdict = ~F.col("base_failed") & ~F.coalesce((F.col("d2") > cutoff) & (F.col("_n") >= least_rows * subset * 0.9), F.lit(False))
-    return last.select(*inner, "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2", verdict.alias("kept"))
+    own = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2"]
+    return last.select(*(F.col(f"_keep_{c}").alias(c) for c in keep), *(c for c in own if c not in keep), verdict.alias("_kept" if "kept" in keep else "kept"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,11 +70,9 @@ def _last_taken(rows: DataFrame, budget: int, passes: int) -> tuple[float, str,
     return (last["v"], last["order"], last["size"]) if last else (low, "", 0)
 
 
-def mix_plan(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", passes: int = PASSES, seed: str = "mix") -> DataFrame:
-    """The columns of ``keep``, and size, source_size, target, copies and taken of each row.
-
-    Names that begin with an underscore are the operator's own.
-    """
+def mix_plan(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", passes: int = PASSES, seed: str = "mix", suffix: str = "") -> DataFrame:
+    """The columns of ``keep``, and size, source_size, target, copies and taken of each row,
+    with the suffix at their names (for tables that have such names themselves)."""
     order = F.md5(F.concat_ws("\u0001", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
     key = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col)))
     own = [F.col(c).alias(f"_keep_{c}") for c in keep]
@@ -96,7 +94,7 @@ def mix_plan(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     taken = lambda x: (x < v) | ((x == v) & ((F.col("order") < o) | ((F.col("order") == o) & (F.col("size") <= s))))
     copies = F.size(F.filter("finish", taken)).cast("long")
     out = timed(full).withColumn("copies", copies)
-    return out.select(*(F.col(f"_keep_{c}").alias(c) for c in keep), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*(F.col(f"_keep_{c}").alias(c) for c in keep), *(F.col(c).alias(c + suffix) for c in ("size", "source_size", "target", "copies")), (F.col("copies") * F.col("size")).alias("taken" + suffix))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from massloom.llm.op1_packing import op1_packing
 from massloom.llm.op3_quality_rules import op3_quality_rules
 from massloom.llm.op5_secrets import op5_secrets
+from massloom.llm.op6_jaccard_join import op6_jaccard_join
 from massloom.llm.op8_mixing import ORACLE_SQL as MIXING_SQL
 from massloom.llm.op8_mixing import op8_mixing
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
     "op5_secrets": op5_secrets,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_mixing": op8_mixing,
 }
 

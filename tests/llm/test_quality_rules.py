@@ -38,6 +38,8 @@ def test_odd_and_empty_tables(spark):
     want = sorted((base(r[1]) for r in odd_rows()))
     got = Q.quality_verdicts(odd(spark), ["doc_id"]).collect()
     assert sorted((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+    wide = Q.quality_verdicts(odd(spark), odd(spark).columns, wide=True)
+    assert sorted(r["n_words"] for r in wide.collect()) == [w[0] for w in want]
     assert Q.quality_verdicts(empty(spark), ["doc_id"]).count() == 0
 
 
