@@ -8,6 +8,7 @@ from massloom.llm.op5_secrets import op5_secrets
 from massloom.llm.op6_jaccard_join import op6_jaccard_join
 from massloom.llm.op8_mixing import ORACLE_SQL as MIXING_SQL
 from massloom.llm.op8_mixing import op8_mixing
+from massloom.llm.op9_lm_scoring import op9_lm_scoring
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_mixing": op8_mixing,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLES = {"op8_mixing": MIXING_SQL}
