@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from massloom.llm.op1_packing import op1_packing
 from massloom.llm.op3_quality_rules import op3_quality_rules
+from massloom.llm.op4_rule_ensemble import op4_rule_ensemble
 from massloom.llm.op5_secrets import op5_secrets
 from massloom.llm.op6_jaccard_join import op6_jaccard_join
 from massloom.llm.op8_mixing import ORACLE_SQL as MIXING_SQL
@@ -13,6 +14,7 @@ from massloom.llm.op9_lm_scoring import op9_lm_scoring
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_rule_ensemble": op4_rule_ensemble,
     "op5_secrets": op5_secrets,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_mixing": op8_mixing,
