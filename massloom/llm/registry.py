@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from massloom.llm.op1_packing import op1_packing
+from massloom.llm.op2_kmeans_tree import op2_kmeans_tree
 from massloom.llm.op3_quality_rules import op3_quality_rules
 from massloom.llm.op4_rule_ensemble import op4_rule_ensemble
 from massloom.llm.op5_secrets import op5_secrets
@@ -13,6 +14,7 @@ from massloom.llm.op9_lm_scoring import op9_lm_scoring
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_kmeans_tree": op2_kmeans_tree,
     "op3_quality_rules": op3_quality_rules,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op5_secrets": op5_secrets,
