@@ -110,7 +110,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = WordEncoder(tokenizer), SlackPacker(capacity, low, high)
+        encoder, packer = WordEncoder.of_worker(tokenizer), SlackPacker(capacity, low, high)
         next_id = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         held, schema = 0, None

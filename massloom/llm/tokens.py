@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import re
+import sys
+from array import array
+from itertools import chain
+from types import ModuleType
 
 WORD_BPE = "word_bpe_49k.json"
-#: Entries of the cache of one task, and characters of the longest word in it.
-CACHE_WORDS, CACHE_CHARS = 1 << 18, 48
+#: Words in the cache of one worker process, and characters of the longest that stays in it.
+CACHE_WORDS, CACHE_CHARS = 1 << 20, 48
+#: A word whose ids are those of its letters in lower case and of its closing marks.
+SIMPLE = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([.,;:!?]*)")
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -36,33 +41,51 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    def of_worker(cls, name_or_path: str = WORD_BPE) -> WordEncoder:
+        """This process's encoder: a worker that runs further tasks keeps its cache."""
+        kept = sys.modules.setdefault("_massloom_worker", ModuleType("_massloom_worker")).__dict__
+        if name_or_path not in kept:
+            kept[name_or_path] = cls(name_or_path)
+        return kept[name_or_path]
+
     def _ids(self, parts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts these words into the cache."""
+        cache, split, whole = self.cache, [], set()
+        for w in words:
+            if len(w) <= CACHE_CHARS and (m := SIMPLE.fullmatch(w)):
+                base, marks = m[1].lower(), m[2]
+                if marks or base != w:
+                    split.append((w, base, marks))
+                    whole.add(marks)
+                whole.add(base)
+            else:
+                whole.add(w)
+        new = [w for w in whole if w not in cache]
+        cache.update(zip(new, self._ids(new), strict=True))
+        for w, base, marks in split:
+            cache[w] = cache[base] + cache[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+            self.cache[""] = b""
         out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, list[str]]] = []
+        split: dict[int, list[str]] = {}
         for k, text in enumerate(texts):
             if any(s in text for s in self.special):
                 out[k] = self._ids([text])[0]
             else:
-                split.append((k, text.replace("\n", " ").split(" ")))
-        for k, parts in split:
-            out[k] = self._join(parts)
-        return out
-
-    def _join(self, parts: list[str]) -> bytes:
+                split[k] = text.replace("\n", " ").split(" ")
         cache = self.cache
-        try:
-            return b"".join([cache[p] for p in parts])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(parts) if p not in cache]
-        ids = dict(zip(new, self._ids(new), strict=True))
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            cache[""] = b""
-        got = b"".join([ids[p] if p in ids else cache[p] for p in parts]) if all(p in ids or p in cache for p in parts) else b"".join(self._ids([" ".join(parts)]))
-        cache.update((p, b) for p, b in ids.items() if len(p) <= CACHE_CHARS)
-        return got
+        new = set(chain.from_iterable(split.values())).difference(cache)
+        self._learn(new)
+        for k, parts in split.items():
+            out[k] = b"".join([cache[p] for p in parts])
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del cache[w]
+        return out
