@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from massloom.llm.op10_token_counts import op10_token_counts
 from massloom.llm.op1_packing import op1_packing
 from massloom.llm.op2_kmeans_tree import op2_kmeans_tree
 from massloom.llm.op3_quality_rules import op3_quality_rules
 from massloom.llm.op4_rule_ensemble import op4_rule_ensemble
 from massloom.llm.op5_secrets import op5_secrets
 from massloom.llm.op6_jaccard_join import op6_jaccard_join
+from massloom.llm.op7_sharding import op7_sharding
 from massloom.llm.op8_mixing import ORACLE_SQL as MIXING_SQL
 from massloom.llm.op8_mixing import op8_mixing
 from massloom.llm.op9_lm_scoring import op9_lm_scoring
@@ -19,8 +21,10 @@ QUERIES = {
     "op4_rule_ensemble": op4_rule_ensemble,
     "op5_secrets": op5_secrets,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {"op8_mixing": MIXING_SQL}

@@ -1,0 +1,58 @@
+import uuid
+
+import pytest
+from llm_fixtures import empty, odd, odd_rows
+from py4j.protocol import Py4JJavaError
+
+from massloom.llm import op7_sharding as S
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture
+def folder(tmp_path):
+    return f"{tmp_path}/{uuid.uuid4().hex}"
+
+
+def test_all_rows_round_trip_and_sizes_follow_the_tiers(spark, folder):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(13)
+    store = S.shard_arrivals(docs, folder, arrivals=5, target_bytes=500_000)
+    back = store.read(docs.schema)
+    assert sorted(back.collect()) == sorted(docs.collect())
+    live = store.shards()
+    assert not store.due(live) and store.version() >= 6
+    assert max(s.bytes for s in live) < 2 * 500_000 and max(s.merges for s in live) >= 1
+    rows = S.shard_rows(store, docs.schema).collect()
+    assert sorted(r["id"] for r in rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    for k in range(len(live)):
+        mine = [r for r in rows if r["shard_id"] == k]
+        assert all(r["shard_rows"] == len(mine) and r["shard_bytes"] == live[k].bytes for r in mine)
+
+
+def test_replaced_files_are_removed_and_live_ones_are_whole(spark, folder):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    store = S.shard_arrivals(docs, folder)
+    files = {s.path for part in [store._files(f"{store.folder}/data", 0)] for s in part}
+    assert files == {s.path for s in store.shards()}
+
+
+def test_two_writers_cannot_commit_one_version(spark, folder):
+    store = S.ShardStore(spark, folder)
+    assert store.commit(0, []) == 1
+    with pytest.raises(Py4JJavaError):
+        store.commit(0, [S.Shard("x", 1, 0)])
+    assert store.version() == 1 and store.shards() == []
+
+
+def test_query(spark):
+    assert S.op7_sharding(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_odd_and_empty_tables(spark, folder):
+    df = odd(spark)
+    store = S.shard_arrivals(df, folder)
+    key = lambda r: str(tuple(r))
+    assert sorted(store.read(df.schema).collect(), key=key) == sorted(df.collect(), key=key)
+    assert S.shard_rows(store, df.schema).count() == len(odd_rows())
+    none = S.shard_arrivals(empty(spark), folder + "-none")
+    assert S.shard_rows(none, df.schema).count() == 0
