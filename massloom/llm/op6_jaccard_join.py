@@ -5,10 +5,12 @@ Texts with equal sets are one node. In each run a node chooses, by hashes that a
 share, shingles with probability ``1 / (threshold * size)`` each, and goes down one path for
 each choice; nodes with the same path meet in a bucket. A bucket of more than ``bucket_rows``
 nodes is split again by further choices, up to three levels; smaller ones and those that the
-last level can't split are leaves. Runs are repeated until a pair at the threshold meets with
-the target probability. What meets in leaves is joined to candidate groups, and within each
-group all pairs are compared on their whole sets, in blocks of bounded size: so links are
-exact, and a group of copies gives counts and a spanning forest, not its pairs.
+last level can't split are leaves, the latter in blocks of bounded size. Runs are repeated until
+a pair at the threshold meets with the target probability. In a leaf all pairs are compared by
+small sketches (the least hash in each of 128 ranges, a byte each), with a margin of several
+standard deviations below the threshold, and those alike are joined to candidate groups. Within
+each group all pairs are compared on their whole sets, in blocks again: so links are exact,
+and a group of copies gives counts and a spanning forest, not its pairs.
 
 The result has one row per document: its class (the least id among documents that a chain of
 links joins, or among copies), and its number of links (documents whose similarity is at
@@ -34,8 +36,10 @@ from massloom.llm.hashing import WordHasher, mix, shingles
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Choices per node at the levels below the first; nodes of a bucket that need no further split.
 BRANCH, BUCKET_ROWS = 2.0, 64
-#: Nodes of a block in the exact comparison of a group.
-BLOCK = 512
+#: Nodes of a block in the exact comparison of a group, and in a leaf that can't be split.
+BLOCK, LEAF_BLOCK = 512, 1024
+#: Bytes of a sketch, and how far below the threshold its estimate may be.
+SKETCH, MARGIN = 128, 0.17
 
 
 def runs_needed(threshold: float, recall: float, branch: float = BRANCH) -> int:
@@ -73,6 +77,30 @@ def chosen_paths(x: np.ndarray, runs: int, threshold: float, branch: float = BRA
     return levels
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """A byte for each of SKETCH equal ranges of hashes: of the least in it, 0 if there is none."""
+    u = np.sort(mix(x ^ np.uint64(0x5851F42D4C957F2D)))
+    bins = (u >> np.uint64(57)).astype(np.int64)
+    first = np.nonzero(np.r_[True, bins[1:] != bins[:-1]])[0]
+    out = np.zeros(SKETCH, np.uint8)
+    out[bins[first]] = (u[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def alike(sketches: np.ndarray, least: float, split: int | None = None) -> np.ndarray:
+    """Boolean matrix of the pairs of sketches whose estimated similarity is at least ``least``."""
+    n = len(sketches)
+    empty = (sketches == 0).astype(np.float32)
+    both = empty @ empty.T
+    same = np.stack([(sketches == sketches[k]).sum(1) for k in range(n)]) - both
+    linked = same >= least * (SKETCH - both)
+    np.fill_diagonal(linked, False)
+    if split is not None:
+        linked[:split, :split] = False
+        linked[split:, split:] = False
+    return linked
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=offsets[1:])
@@ -81,7 +109,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, recall: float) -> DataFrame:
-    """id, key (of the text), node (of the set; null if it is empty), shingles, and paths by level."""
+    """id, key (of the text), node (of the set; null if it is empty), shingles, sketch, and paths by level."""
     import xxhash
 
     repeat = runs_needed(threshold, recall)
@@ -92,41 +120,88 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, threshol
         for whole in batches:
             for lo in range(0, len(whole), 512):
                 batch = whole.slice(lo, 512)
-                nodes, sizes, columns = [], [], [[] for _ in range(5)]
+                nodes, sizes, sketches, columns = [], [], [], [[] for _ in range(5)]
                 none = np.zeros(0, np.uint64)
                 for text in batch.column(2).to_pylist():
                     x = shingles(text, hasher, width)
                     nodes.append(xxhash.xxh128_digest(x.tobytes()) if len(x) else None)
                     sizes.append(len(x))
+                    sketches.append(sketch(x) if len(x) else None)
                     (_, a), (bp, b), (cp, c) = chosen_paths(x, repeat, threshold) if len(x) else [(none, none)] * 3
                     for column, value in zip(columns, (a, bp, b, cp, c), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), *map(_lists, columns)], names=["id", "key", "node", "n_shingles", "l1", "p2", "l2", "p3", "l3"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), *map(_lists, columns)], names=["id", "key", "node", "n_shingles", "sketch", "l1", "p2", "l2", "p3", "l3"])
 
-    return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {kind}, key binary, node binary, n_shingles long, l1 array<long>, p2 array<long>, l2 array<long>, p3 array<long>, l3 array<long>")
+    return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {kind}, key binary, node binary, n_shingles long, sketch binary, l1 array<long>, p2 array<long>, l2 array<long>, p3 array<long>, l3 array<long>")
 
 
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def candidate_edges(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) from each node of a leaf bucket to the bucket's least node."""
-    edges, big = None, None
+def leaf_edges(rows: DataFrame, least: float) -> DataFrame:
+    """Rows (path, i, j, block, node, sketch): spanning edges (a, b) of the pairs that look alike in each group."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, out = None, [], []
+
+        def close() -> None:
+            group.sort()
+            if len(group) < 2:
+                return
+            split = sum(g[0] == group[0][0] for g in group) if at[1] != at[2] else None
+            roots = spanning(alike(np.frombuffer(b"".join(g[2] for g in group), np.uint8).reshape(-1, SKETCH), least, split))
+            out.extend((g[1], group[r][1]) for k, (g, r) in enumerate(zip(group, roots, strict=True)) if r != k)
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 2
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
+
+        for batch in batches:
+            for path, i, j, block, node, sign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (path, i, j):
+                    if at is not None:
+                        close()
+                    at, group = (path, i, j), []
+                group.append((block, node, sign))
+            yield flush()
+        if at is not None:
+            close()
+        yield flush()
+
+    key = ["path", "i", "j"]
+    dealt = rows.select(*key, "block", "node", "sketch").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(compare, "a binary, b binary")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with blocks (their number) and node: adds block and, once for each pair of blocks that holds it, i and j."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+
+def candidate_edges(nodes: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS, leaf_block: int = LEAF_BLOCK) -> DataFrame:
+    """Edges (a, b) that join the nodes which met in leaves and look alike."""
+    found, big = None, None
     for level in (1, 2, 3):
         if level == 1:
             rows = nodes.select("node", F.explode("l1").alias("path"))
         else:
-            rows = nodes.select("node", F.explode(F.arrays_zip(F.col(f"p{level}").alias("p"), F.col(f"l{level}").alias("c"))).alias("z")).select("node", F.col("z.p").alias("parent"), F.col("z.c").alias("path"))
-            rows = cut_lineage(rows.join(big, "parent", "left_semi").select("node", "path"))
-        buckets = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where(F.col("n") > 1))
+            own = F.filter(F.arrays_zip(F.col(f"p{level}").alias("p"), F.col(f"l{level}").alias("c")), lambda z: z["p"] == F.col("path"))
+            rows = big.join(nodes.select("node", f"p{level}", f"l{level}"), "node").select("node", F.explode(own).alias("z")).select("node", F.col("z.c").alias("path"))
+        rows = cut_lineage(rows)
+        buckets = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
         leaves = buckets if level == 3 else buckets.where(F.col("n") <= bucket_rows)
-        found = rows.join(leaves.select("path", "lead"), "path").where(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        edges = found if edges is None else edges.union(found)
-        big = buckets.where(F.col("n") > bucket_rows).select(F.col("path").alias("parent"))
-        if level < 3 and big.limit(1).count() == 0:
-            break
-    return edges.distinct()
+        members = rows.join(leaves.select("path", F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") / leaf_block)).otherwise(1).cast("int").alias("blocks")), "path")
+        found = members if found is None else found.union(members)
+        big = rows.join(buckets.where(F.col("n") > bucket_rows).select("path"), "path", "left_semi")
+        if level < 3:
+            big = cut_lineage(big)
+            if big.limit(1).count() == 0:
+                break
+    met = in_blocks(found.join(nodes.select("node", "sketch"), "node"))
+    return leaf_edges(met, threshold - MARGIN).distinct()
 
 
 def pair_links(sets: list[np.ndarray], threshold: float, split: int | None = None) -> np.ndarray:
@@ -220,15 +295,14 @@ def exact_links(rows: DataFrame, width: int, threshold: float) -> DataFrame:
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """id, key of the text, class_node (null without shingles), class_id, n_links, n_shingles."""
     signed = cut_lineage(signatures(docs, id_col, text_col, width, threshold, recall))
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("l1", "p2", "l2", "p3", "l3")))
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("sketch", "l1", "p2", "l2", "p3", "l3")))
     nodes = cut_lineage(nodes)
-    groups = components(cut_lineage(candidate_edges(nodes)))
+    groups = components(cut_lineage(candidate_edges(nodes, threshold)))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     cand = groups.join(nodes.select("node", "first", "weight"), "node").join(sizes, "component")
     cand = cut_lineage(cand.select("component", "node", "weight", F.ceil(F.col("members") / block).cast("int").alias("blocks"), F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("_id"), F.col("first.key").alias("_key")))
     texts = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
-    rows = texts.join(cand, ["_id", "_key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = in_blocks(texts.join(cand, ["_id", "_key"]))
     links = cut_lineage(exact_links(rows, width, threshold))
     classes = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))

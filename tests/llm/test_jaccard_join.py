@@ -89,6 +89,19 @@ def test_pair_links_match_plain_sets():
                 assert got[i, j] == (i != j and len(a & b) >= 0.3 * len(a | b) - 1e-9)
 
 
+def test_sketches_estimate_similarity_within_the_margin():
+    rng = np.random.default_rng(1)
+    for n in (1, 6, 40, 300, 5000):
+        for _ in range(20):
+            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            b = a.copy()
+            b[: n // 9] = rng.integers(0, 1 << 62, n // 9)
+            pair = np.stack([np.frombuffer(J.sketch(np.unique(x)), np.uint8) for x in (a, b)])
+            assert J.alike(pair, J.THRESHOLD - J.MARGIN)[0, 1]
+        far = np.stack([np.frombuffer(J.sketch(np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))), np.uint8) for _ in range(2)])
+        assert not J.alike(far, 0.5)[0, 1]
+
+
 def test_odd_and_empty_tables(spark):
     got = J.jaccard_classes(odd(spark)).collect()
     assert len(got) == len(odd_rows())
