@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
+from types import ModuleType
 
 import numpy as np
 
@@ -23,25 +25,36 @@ def words_lower(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class WordHasher:
-    """xxh64 of words, with a cache of bounded size."""
+class _Digests(dict):
+    """Words to hashes; an absent word is hashed when it is asked for."""
 
-    def __init__(self, limit: int = 1 << 18):
+    def __init__(self):
         import xxhash
 
-        self.digest, self.limit, self.cache = xxhash.xxh64_intdigest, limit, {}
+        super().__init__()
+        self.digest = xxhash.xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = self.digest(word)
+        return value
+
+
+class WordHasher:
+    """xxh64 of words, with a cache of bounded size (checked between calls)."""
+
+    def __init__(self, limit: int = 1 << 20):
+        self.limit, self.cache = limit, _Digests()
+
+    @classmethod
+    def of_worker(cls) -> WordHasher:
+        """This process's hasher: a worker that runs further tasks keeps its cache."""
+        kept = sys.modules.setdefault("_massloom_worker", ModuleType("_massloom_worker")).__dict__
+        return kept.setdefault("hasher", cls())
 
     def __call__(self, words: Sequence[bytes]) -> np.ndarray:
-        cache = self.cache
-        try:
-            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        if len(cache) > self.limit:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = self.digest(w)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
 
 
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:
