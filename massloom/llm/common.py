@@ -26,6 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def once(value: Column) -> Column:
+    """The value as an expression that counts as nondeterministic, so that the optimizer neither
+    copies it into lambdas and pushed-down filters nor merges its projection with others."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later reads survive the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
