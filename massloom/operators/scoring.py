@@ -121,7 +121,7 @@ def fit_qda(train: DataFrame, p: int, reg: float = 0.5) -> Quadratic:
     return Quadratic((means[0], means[1]), (inverses[0], inverses[1]), 0.5 * (logdet[0] - logdet[1]))
 
 
-def fit_squared_hinge(train: DataFrame, p: int, c: float = 1.0, rounds: int = 15) -> Linear:
+def fit_squared_hinge(train: DataFrame, p: int, c: float = 1.0, rounds: int = 6) -> Linear:
     """Linear SVM with squared hinge loss by Newton steps; each takes one pass over the rows that violate the margin."""
     beta = np.zeros(p + 1)
     wide = train.withColumn("_x1", F.concat(F.col("x"), F.array(F.lit(1.0)))).withColumn("_y", F.col("label").cast("double"))
@@ -138,14 +138,14 @@ def fit_squared_hinge(train: DataFrame, p: int, c: float = 1.0, rounds: int = 15
         row = active.agg(*(F.sum(F.get("_x1", k) * F.col("_y")).alias(f"c{k}") for k in range(p + 1))).first()
         xy = np.array([row[f"c{k}"] for k in range(p + 1)])
         new = np.linalg.solve(ridge + 2 * c * q, 2 * c * xy)
-        if np.abs(new - beta).max() < 1e-6:
+        if np.abs(new - beta).max() < 1e-4:
             beta = new
             break
         beta = new
     return Linear(beta[:p], float(beta[p]))
 
 
-def fourier_features(df: DataFrame, p: int, gamma: float | None = None, n: int = 64, seed: int = 42, x: str = "x") -> DataFrame:
+def fourier_features(df: DataFrame, p: int, gamma: float | None = None, n: int = 24, seed: int = 42, x: str = "x") -> DataFrame:
     """x replaced by random Fourier features of the RBF kernel: what a linear model on them approximates is a kernel model."""
     rng = np.random.default_rng(seed)
     gamma = 1.0 / p if gamma is None else gamma
@@ -170,7 +170,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, p: int, model: str = "lda",
         fitted = tree.fit(as_vector(train).withColumn("_y", (F.col("label") == 1).cast("double")))
         return fitted.transform(as_vector(test)).withColumn("score", vector_to_array("rawPrediction")[1]).drop("_v", "rawPrediction", "probability", "prediction")
     if model == "rbf_svm":
-        n = options.get("n", 64)
+        n = options.get("n", 24)
         both = [fourier_features(d.withColumn("_x0", F.col("x")), p, options.get("gamma"), n) for d in (train, test)]
         fitted = fit_squared_hinge(both[0], n, options.get("c", 1.0))
         return both[1].withColumn("score", fitted.score()).withColumn("x", F.col("_x0")).drop("_x0")

@@ -273,15 +273,15 @@ def p27_drop_zero_signal(s, d):
     return table(s, d, "events").where("event_type <> 'error'").where("value > 0").select("event_id", "value")
 
 
-@query("SELECT CAST(floor(ln(value) / CAST(0.09531017980432486 AS DOUBLE)) AS BIGINT) AS bin, CAST(sum(user_id) AS DOUBLE) AS intensity FROM events WHERE value > 0 GROUP BY 1")
+@query("SELECT CAST(floor(ln(value) / CAST(0.08846864798760816 AS DOUBLE)) AS BIGINT) AS bin, CAST(sum(user_id) AS DOUBLE) AS intensity FROM events WHERE value > 0 GROUP BY 1")
 def streaming_histogram(s, d):
     import math
 
     from massloom.streaming.ingest import merged_totals, running_histogram
 
     e = table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("pixel"), F.col("value").alias("mz"), F.col("user_id").cast("double").alias("intensity"))
-    assert math.isclose(math.log1p(0.1), 0.09531017980432486)
-    return merged_totals(running_histogram(e, 0.4e6)).select("bin", "intensity")
+    assert math.isclose(math.log1p(0.0925), 0.08846864798760816)
+    return merged_totals(running_histogram(e, 0.37e6)).select("bin", "intensity")
 
 
 @query()

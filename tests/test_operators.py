@@ -110,7 +110,7 @@ def test_deisotoping_keeps_the_first_of_a_falling_chain(spark):
 def test_peaks_are_picked(spark):
     mz = np.arange(200)
     y = 10 * np.exp(-((mz - 60) ** 2) / 18) + 5 * np.exp(-((mz - 140) ** 2) / 18)
-    df = spark.createDataFrame([(int(k), 500 + k * 0.01, float(v)) for k, v in zip(mz, y, strict=True)], "cell int, mz double, intensity double")
+    df = spark.createDataFrame([(int(k), float(500 + k * 0.01), float(v)) for k, v in zip(mz, y, strict=True)], "cell int, mz double, intensity double")
     got = sorted(round(r["mz_apex"], 2) for r in extraction.pick_peaks(df, 0.05).collect())
     assert got == [500.6, 501.4]
 
@@ -130,7 +130,7 @@ def decoy_table(spark, shift=1.5):
 
 @pytest.mark.parametrize("model", ["lda", "qda", "svm", "rbf_svm"])
 def test_models_separate_targets_from_decoys(spark, model):
-    t = scoring.semi_supervised(decoy_table(spark), ["good", "noise"], ["row_id"], model, init_fdr=0.3, train_fdr=0.3, max_iter=2).collect()
+    t = scoring.semi_supervised(decoy_table(spark), ["good", "noise"], ["row_id"], model, init_fdr=0.3, train_fdr=0.3, max_iter=1, n=12).collect()
     good, bad = [r["score"] for r in t if not r["is_decoy"]], [r["score"] for r in t if r["is_decoy"]]
     assert np.mean([a > b for a in good for b in bad]) > 0.75
 
