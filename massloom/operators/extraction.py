@@ -72,23 +72,24 @@ def merge_bins(bins: DataFrame, n_pixels: int, ppm_bin: float = 5.0, least_share
     """(feature_mz, n_pixels, intensity): runs of fine bins, each within ``ppm_bin`` of where it began, that enough pixels hold.
 
     Bins are few, bounded by the m/z range; islands without gaps are found first, so each task
-    merges islands only.
+    merges whole islands only.
     """
     gap = F.when(F.col("bin") - F.lag("bin").over(W.orderBy("bin")) > 1, 1).otherwise(0)
     islands = bins.withColumn("island", F.sum(gap).over(W.orderBy("bin")))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, start = [], None
-        for b, n, s, m in zip(*(pdf.sort_values("bin")[c] for c in ("bin", "n_pixels", "intensity", "moment")), strict=True):
-            if start is None or b - start >= 4:
-                start = b
+        out, at, start = [], None, 0
+        for island, b, n, s, m in zip(*(pdf.sort_values("bin")[c] for c in ("island", "bin", "n_pixels", "intensity", "moment")), strict=True):
+            if island != at or b - start >= 4:
+                at, start = island, b
                 out.append([0, 0.0, 0.0])
             out[-1][0] += n
             out[-1][1] += s
             out[-1][2] += m
         return pd.DataFrame([(m / s if s else float("nan"), n, s) for n, s, m in out], columns=["feature_mz", "n_pixels", "intensity"])
 
-    merged = islands.groupBy("island").applyInPandas(merge, "feature_mz double, n_pixels long, intensity double")
+    # many small islands share a call
+    merged = islands.withColumn("part", F.floor(F.col("island") / 1000)).groupBy("part").applyInPandas(merge, "feature_mz double, n_pixels long, intensity double")
     return merged.where((F.col("n_pixels") >= least_share * n_pixels) & ~F.isnan("feature_mz"))
 
 

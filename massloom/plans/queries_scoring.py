@@ -18,7 +18,7 @@ def _table(s, d) -> DataFrame:
 
 
 def _scored(s, d, model: str) -> DataFrame:
-    t = scoring.semi_supervised(_table(s, d), FEATURES, KEY, model, init_fdr=0.5, train_fdr=0.5, max_iter=2, trees=10)
+    t = scoring.semi_supervised(_table(s, d), FEATURES, KEY, model, init_fdr=0.5, train_fdr=0.5, max_iter=2, trees=10, n=8)
     return t.select(*KEY, "is_decoy", F.round("score", 6).alias("score"))
 
 
