@@ -42,14 +42,17 @@ class _Digests(dict):
 class WordHasher:
     """xxh64 of words, with a cache of bounded size (checked between calls)."""
 
-    def __init__(self, limit: int = 1 << 20):
+    def __init__(self, limit: int = 1 << 18):
         self.limit, self.cache = limit, _Digests()
 
     @classmethod
-    def of_worker(cls) -> WordHasher:
+    def of_worker(cls, limit: int = 1 << 18) -> WordHasher:
         """This process's hasher: a worker that runs further tasks keeps its cache."""
         kept = sys.modules.setdefault("_massloom_worker", ModuleType("_massloom_worker")).__dict__
-        return kept.setdefault("hasher", cls())
+        if "hasher" not in kept:
+            kept["hasher"] = cls(limit)
+        kept["hasher"].limit = limit
+        return kept["hasher"]
 
     def __call__(self, words: Sequence[bytes]) -> np.ndarray:
         if len(self.cache) > self.limit:

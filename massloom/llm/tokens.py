@@ -11,7 +11,7 @@ from types import ModuleType
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words in the cache of one worker process, and characters of the longest that stays in it.
-CACHE_WORDS, CACHE_CHARS = 1 << 20, 48
+CACHE_WORDS, CACHE_CHARS = 1 << 19, 48
 #: A word whose ids are those of its letters in lower case and of its closing marks.
 SIMPLE = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([.,;:!?]*)")
 
