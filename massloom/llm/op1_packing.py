@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm.common import read_table
-from massloom.llm.tokens import WORD_BPE, WordEncoder
+from massloom.llm.tokens import CACHE_WORDS, WORD_BPE, WordEncoder
 
 
 def best_fill(counts: list[tuple[int, int]], capacity: int) -> tuple[int, list[tuple[int, int]]]:
@@ -101,16 +101,17 @@ def power_of_two_cuts(total: int, capacity: int) -> list[int]:
     return cuts + [1 << b for b in reversed(range(left.bit_length())) if left >> b & 1]
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, closing_id: int = 2, tokenizer: str = WORD_BPE, low: int = 256, high: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, closing_id: int = 2, tokenizer: str = WORD_BPE, low: int = 256, high: int = 512, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, sequence_id, offset, and the ids as
-    little-endian unsigned 32-bit bytes. At most ``high`` remainders wait in a task at a time."""
+    little-endian unsigned 32-bit bytes. At most ``high`` remainders wait in a task at a time;
+    a worker keeps the ids of at most ``cache_words`` words, for speed only."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     end = closing_id.to_bytes(4, "little")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = WordEncoder.of_worker(tokenizer), SlackPacker(capacity, low, high)
+        encoder, packer = WordEncoder.of_worker(tokenizer, cache_words), SlackPacker(capacity, low, high)
         next_id = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         held, schema = 0, None
@@ -179,5 +180,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(read_table(spark, sf_dir, "documents"))
+    pieces = pack_documents(read_table(spark, sf_dir, "documents"), cache_words=1 << 20)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

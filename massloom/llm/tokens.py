@@ -10,7 +10,7 @@ from itertools import chain
 from types import ModuleType
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words in the cache of one worker process, and characters of the longest that stays in it.
+#: Words in the cache of one worker process unless said otherwise, and characters of the longest that stays in it.
 CACHE_WORDS, CACHE_CHARS = 1 << 19, 48
 #: A word whose ids are those of its letters in lower case and of its closing marks.
 SIMPLE = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([.,;:!?]*)")
@@ -33,20 +33,22 @@ class WordEncoder:
     tokenizer's special strings go through it whole.
     """
 
-    def __init__(self, name_or_path: str = WORD_BPE):
+    def __init__(self, name_or_path: str = WORD_BPE, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name_or_path))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {"": b""}
+        self.limit = limit
 
     @classmethod
-    def of_worker(cls, name_or_path: str = WORD_BPE) -> WordEncoder:
+    def of_worker(cls, name_or_path: str = WORD_BPE, limit: int = CACHE_WORDS) -> WordEncoder:
         """This process's encoder: a worker that runs further tasks keeps its cache."""
         kept = sys.modules.setdefault("_massloom_worker", ModuleType("_massloom_worker")).__dict__
         if name_or_path not in kept:
             kept[name_or_path] = cls(name_or_path)
+        kept[name_or_path].limit = limit
         return kept[name_or_path]
 
     def _ids(self, parts: list[str]) -> list[bytes]:
@@ -70,7 +72,7 @@ class WordEncoder:
             cache[w] = cache[base] + cache[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.limit:
             self.cache.clear()
             self.cache[""] = b""
         out: list[bytes] = [b""] * len(texts)
