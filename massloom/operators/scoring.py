@@ -6,6 +6,7 @@ happen on the driver. Tree models and k-means are Spark ML's.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,15 @@ from pyspark.sql import functions as F
 from massloom.operators.ordered import folds, tdc_q_values, winners
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that the session names (a temporary one only where none is
+    set): iterations would otherwise plan all that came before them again."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="massloom-"))
+    return df.checkpoint(eager=True)
+
+
 def standardised(df: DataFrame, features: list[str]) -> DataFrame:
     """Adds x: the features as an array, NULL filled by the median, less mean over population deviation; constants 0."""
     medians = df.agg(*(F.coalesce(F.percentile(f, F.lit(0.5)), F.lit(0.0)).alias(f) for f in features)).first()
@@ -238,7 +248,7 @@ def semi_supervised(df: DataFrame, features: list[str], key: list[str], model: s
             break
         before = n
         pool = pool.drop("score", "_q")
-        scored = out_of_fold(pool, len(features), model, key, **options).drop("label").cache()
+        scored = settled(out_of_fold(pool, len(features), model, key, **options).drop("label"))
     return scored.drop("x")
 
 
@@ -299,7 +309,7 @@ def two_rounds(df: DataFrame, features: list[str], key: list[str], model: str =
     """Round one scores all candidates; the winners of each feature are scored again, seeded by the
     best ``seed_share`` of targets; q-values are those of round two. Adds score_r1, score_r2, q_value."""
     first = semi_supervised(df, features, key, model, init_fdr, train_fdr, skip=skip, **options).withColumnRenamed("score", "score_r1")
-    best = winners(first, group, "score_r1", key, winner_share).cache()
+    best = settled(winners(first, group, "score_r1", key, winner_share))
     if single_round:
         second = best.withColumn("score_r2", F.col("score_r1"))
     else:
