@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and novelty under a primed zstandard compressor.
 
 Three patterns give the base spans. Beyond them, a candidate is a long mixed run of
-letters and digits near a sensitive word. It is compressed behind the code around it by a
+letters and digits near a sensitive word, or glued to it (``access_key=...``). It is compressed behind the code around it by a
 compressor that is primed with a dictionary of identifiers and of common words; the bytes
 that it adds, per character, measure how little of it the surroundings explain. Candidates
 that stay nearly incompressible are reported as spans of kind ``novel``.
@@ -28,7 +28,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 #: A text without any of these, in lower case, has no match of ASSIGN.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{19,}")
+#: What ties a sensitive word to the rest of its run; a name and its '='.
+CANDIDATE_REST = re.compile(r"[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]*")
+TIE, NAME = re.compile(r"[+/_=-]+"), re.compile(r"[A-Za-z0-9+/_-]+=+")
 SENSITIVE = re.compile(r"(?:auth|bearer|credential|private|signature|session|access|secret|token|passw|api.?key|\bkey\b)", re.I | re.A)
 #: What primes the compressor: words that stand near identifiers in code and settings.
 IDENTIFIERS = " ".join(
@@ -56,6 +60,29 @@ class Novelty:
         return (len(tool.compress(context[-64:] + candidate.encode())) - without) / max(1, len(candidate))
 
 
+def value_start(run: str) -> int:
+    """Where the value of a run like name=value begins: behind names, which hold a sensitive word or no digit."""
+    at = 0
+    while (m := NAME.match(run, at)) and (SENSITIVE.search(m[0]) or not re.search(r"[0-9]", m[0])):
+        at = m.end()
+    return at
+
+
+def candidates(text: str, at: int, reach: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs that begin within reach of ``at``, the end of a sensitive word, names left out."""
+    stop = min(len(text), at + reach + 4096)
+    if tie := TIE.match(text, at):
+        # the word is part of a run, which no candidate can start within
+        rest = CANDIDATE_REST.match(text, tie.end(), stop)
+        if rest and rest.end() - (start := rest.start() + value_start(rest[0])) >= LEAST:
+            yield start, rest.end()
+    for c in CANDIDATE.finditer(text, at, stop):
+        if c.start() - at > reach:
+            break
+        start = c.start() + value_start(c[0])
+        yield start if c.end() - start >= LEAST else c.start(), c.end()
+
+
 def find_spans(text: str, novelty: Novelty, reach: int = 48, surround: int = 2048, least_share: float = 0.7) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span, by start, then kind."""
     spans = []
@@ -66,20 +93,19 @@ def find_spans(text: str, novelty: Novelty, reach: int = 48, surround: int = 204
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(spans)
-    end = None
+    end, seen = 0, set()
     for m in SENSITIVE.finditer(text):
         # every candidate that begins within reach of a sensitive word, each once
-        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + reach + 4096)):
-            if c.start() - m.end() > reach:
-                break
-            if end is not None and c.start() < end:
+        for a, b in candidates(text, m.end(), reach):
+            if a < end or (a, b) in seen:
                 continue
-            s = c[0]
-            if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or any(a < c.end() and c.start() < b for a, _, b in base):
+            seen.add((a, b))
+            s = text[a:b]
+            if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or any(x < b and a < y for x, _, y in base):
                 continue
-            if novelty.share(text[max(0, c.start() - surround) : c.start()], s) >= least_share:
-                spans.append((c.start(), 3, c.end()))
-                end = c.end()
+            if novelty.share(text[max(0, a - surround) : a], s) >= least_share:
+                spans.append((a, 3, b))
+                end = b
     return sorted(set(spans))
 
 

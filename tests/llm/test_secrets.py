@@ -54,3 +54,14 @@ def test_redaction_merges_overlaps_and_keeps_rows(spark):
 def test_odd_and_empty_tables(spark):
     assert scan_secrets(odd(spark)).count() == odd(spark).count()
     assert scan_secrets(empty(spark)).count() == 0
+
+
+def test_values_glued_to_their_names_are_found():
+    value, novelty = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzQ8sTq2LhV", Novelty()
+    for before in ("AWS_SECRET_ACCESS_KEY=", "private_key=", "export access_key=", "GET /x?user=me&signature=", "session=", "auth session_id=", "credential==", "Set session-", "/session/"):
+        for behind in ("", "==", "&next=1", "\nPORT=80"):
+            text = before + value + behind
+            start, end = len(before), len(before) + len(value) + 2 * (behind == "==")
+            assert find_spans(text, novelty) == [(start, 3, end)], text
+            assert redact(text, find_spans(text, novelty)) == before + "[SECRET]" + behind.removeprefix("==")
+    assert find_spans("session_id=1 private_key=short1 access_key_file=settings", novelty) == []
