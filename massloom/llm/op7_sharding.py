@@ -104,6 +104,10 @@ class ShardStore:
                 found.append(Shard(s.getPath().toString(), s.getLen(), merges))
         return sorted(found, key=lambda s: s.path)
 
+    def uri(self, path: str) -> str:
+        """The path as _metadata.file_path gives it, with blanks and the like escaped."""
+        return self._path(path).toUri().toString()
+
     def write(self, df: DataFrame, arrival_col: str | None = None) -> list[list[Shard]]:
         """Writes rows as shards that aren't live yet; one list of shards per value of arrival_col."""
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
@@ -158,8 +162,9 @@ def shard_arrivals(docs: DataFrame, folder: str, id_col: str = "doc_id", arrival
 def shard_rows(store: ShardStore, schema, id_col: str = "doc_id") -> DataFrame:
     """Per row of the store: its id, and the number, bytes, merges and rows of its shard, and the version."""
     live = store.shards()
-    rows = store.read(schema).select(F.col(id_col).alias("id"), F.col("_metadata.file_name").alias("_file")) if live else store.read(schema).select(F.col(id_col).alias("id"), F.lit("").alias("_file"))
-    table = store.spark.createDataFrame([(s.path.rpartition("/")[2], k, s.bytes, s.merges) for k, s in enumerate(live)], "_file string, shard_id int, shard_bytes long, merges int")
+    rows = store.read(schema).select(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("_file")) if live else store.read(schema).select(F.col(id_col).alias("id"), F.lit("").alias("_file"))
+    # whole paths, as Spark writes them: files of one task share their base name in the folders of all arrivals
+    table = store.spark.createDataFrame([(store.uri(s.path), k, s.bytes, s.merges) for k, s in enumerate(live)], "_file string, shard_id int, shard_bytes long, merges int")
     sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("shard_rows"))
     named = table.join(sizes, "_file")
     return rows.join(F.broadcast(named) if len(live) <= 20_000 else named, "_file").select("id", "shard_id", "shard_bytes", "shard_rows", "merges", F.lit(store.version()).alias("version"))

@@ -29,6 +29,19 @@ def test_all_rows_round_trip_and_sizes_follow_the_tiers(spark, folder):
         assert all(r["shard_rows"] == len(mine) and r["shard_bytes"] == live[k].bytes for r in mine)
 
 
+def test_arrivals_of_one_task_that_stay_live_keep_their_own_rows(spark, folder):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    store = S.shard_arrivals(docs, folder + " a%20b+c", arrivals=4, target_bytes=1000)
+    live = store.shards()
+    assert len(live) == 12 and len({s.path.rpartition("/")[2] for s in live}) == 3
+    rows = S.shard_rows(store, docs.schema).collect()
+    assert sorted(r["id"] for r in rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    for k, s in enumerate(live):
+        ids = [r["doc_id"] for r in spark.read.parquet(s.path).select("doc_id").collect()]
+        mine = [r for r in rows if r["shard_id"] == k]
+        assert sorted(r["id"] for r in mine) == sorted(ids) and all((r["shard_rows"], r["shard_bytes"]) == (len(ids), s.bytes) for r in mine)
+
+
 def test_replaced_files_are_removed_and_live_ones_are_whole(spark, folder):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     store = S.shard_arrivals(docs, folder)
