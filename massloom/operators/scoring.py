@@ -7,9 +7,11 @@ happen on the driver. Tree models and k-means are Spark ML's.
 from __future__ import annotations
 
 import tempfile
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,31 +133,52 @@ def fit_qda(train: DataFrame, p: int, reg: float = 0.5) -> Quadratic:
     return Quadratic((means[0], means[1]), (inverses[0], inverses[1]), 0.5 * (logdet[0] - logdet[1]))
 
 
-def fit_squared_hinge(train: DataFrame, p: int, c: float = 1.0, rounds: int = 6) -> Linear:
+def violating(rows: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """n, sums of products and sums with the label of the rows (x, y) inside the margin; x is followed by a one.
+
+    Partial sums are by partition in Arrow batches: as column expressions, the thousands of products
+    of Fourier features don't compile.
+    """
+    p1 = len(beta)
+
+    def part(batches):
+        n, q, xy = 0.0, np.zeros((p1, p1)), np.zeros(p1)
+        for batch in batches:
+            if batch.num_rows:
+                y = batch.column(1).to_numpy(zero_copy_only=False)
+                x = np.hstack([batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(y), p1 - 1), np.ones((len(y), 1))])
+                on = y * (x @ beta) < 1
+                n, q, xy = n + on.sum(), q + x[on].T @ x[on], xy + x[on].T @ y[on]
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], q.ravel(), xy])], pa.list_(pa.float64()))], names=["sums"])
+
+    cells = rows.select("x", "y").mapInArrow(part, "sums array<double>").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(1 + p1 * p1 + p1)
+    for r in cells:
+        total[r["k"]] = r["v"]
+    return total[0], total[1 : 1 + p1 * p1].reshape(p1, p1), total[1 + p1 * p1 :]
+
+
+def fit_squared_hinge(train: DataFrame, p: int, c: float = 1.0, rounds: int = 15) -> Linear:
     """Linear SVM with squared hinge loss by Newton steps; each takes one pass over the rows that violate the margin."""
     beta = np.zeros(p + 1)
-    wide = train.withColumn("_x1", F.concat(F.col("x"), F.array(F.lit(1.0)))).withColumn("_y", F.col("label").cast("double"))
+    rows = train.select("x", F.col("label").cast("double").alias("y"))
     ridge = np.eye(p + 1)
     ridge[p, p] = 1e-6
     for _ in range(rounds):
-        margin = F.lit(0.0)
-        for k in range(p + 1):
-            margin = margin + F.get("_x1", k) * F.lit(float(beta[k]))
-        active = wide.where(F.col("_y") * margin < 1)
-        n, _, q = moments(active, p + 1, "_x1")
+        n, q, xy = violating(rows, beta)
         if not n:
             break
-        row = active.agg(*(F.sum(F.get("_x1", k) * F.col("_y")).alias(f"c{k}") for k in range(p + 1))).first()
-        xy = np.array([row[f"c{k}"] for k in range(p + 1)])
         new = np.linalg.solve(ridge + 2 * c * q, 2 * c * xy)
-        if np.abs(new - beta).max() < 1e-4:
+        if np.abs(new - beta).max() < 1e-6:
             beta = new
             break
         beta = new
+    else:
+        warnings.warn(f"squared hinge: not settled in {rounds} Newton steps", RuntimeWarning, stacklevel=2)
     return Linear(beta[:p], float(beta[p]))
 
 
-def fourier_features(df: DataFrame, p: int, gamma: float | None = None, n: int = 24, seed: int = 42, x: str = "x") -> DataFrame:
+def fourier_features(df: DataFrame, p: int, gamma: float | None = None, n: int = 64, seed: int = 42, x: str = "x") -> DataFrame:
     """x replaced by random Fourier features of the RBF kernel: what a linear model on them approximates is a kernel model."""
     rng = np.random.default_rng(seed)
     gamma = 1.0 / p if gamma is None else gamma
@@ -176,11 +199,11 @@ def fit_and_score(train: DataFrame, test: DataFrame, p: int, model: str = "lda",
         from pyspark.ml.classification import GBTClassifier
 
         as_vector = lambda d: d.withColumn("_v", array_to_vector("x"))
-        tree = GBTClassifier(featuresCol="_v", labelCol="_y", maxIter=options.get("trees", 50), maxDepth=options.get("depth", 3), stepSize=options.get("rate", 0.1), subsamplingRate=0.7, seed=options.get("seed", 42))
+        tree = GBTClassifier(featuresCol="_v", labelCol="_y", maxIter=options.get("trees", 200), maxDepth=options.get("depth", 3), stepSize=options.get("rate", 0.1), subsamplingRate=0.7, seed=options.get("seed", 42))
         fitted = tree.fit(as_vector(train).withColumn("_y", (F.col("label") == 1).cast("double")))
         return fitted.transform(as_vector(test)).withColumn("score", vector_to_array("rawPrediction")[1]).drop("_v", "rawPrediction", "probability", "prediction")
     if model == "rbf_svm":
-        n = options.get("n", 24)
+        n = options.get("n", 64)
         both = [fourier_features(d.withColumn("_x0", F.col("x")), p, options.get("gamma"), n) for d in (train, test)]
         fitted = fit_squared_hinge(both[0], n, options.get("c", 1.0))
         return both[1].withColumn("score", fitted.score()).withColumn("x", F.col("_x0")).drop("_x0")

@@ -18,7 +18,7 @@ def _table(s, d) -> DataFrame:
 
 
 def _scored(s, d, model: str) -> DataFrame:
-    t = scoring.semi_supervised(_table(s, d), FEATURES, KEY, model, init_fdr=0.5, train_fdr=0.5, max_iter=2, trees=10, n=8)
+    t = scoring.semi_supervised(_table(s, d), FEATURES, KEY, model)
     return t.select(*KEY, "is_decoy", F.round("score", 6).alias("score"))
 
 
@@ -49,7 +49,7 @@ def m9_qda(s, d):
 
 @query()
 def m3_m4_m12_two_rounds(s, d):
-    t = scoring.two_rounds(_table(s, d), FEATURES, KEY, group="l_partkey", init_fdr=0.5, train_fdr=0.5, max_iter=2)
+    t = scoring.two_rounds(_table(s, d), FEATURES, KEY, group="l_partkey")
     return t.select(*KEY, "is_decoy", "score_r1", "score_r2", "q_value")
 
 

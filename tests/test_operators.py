@@ -135,6 +135,40 @@ def test_models_separate_targets_from_decoys(spark, model):
     assert np.mean([a > b for a in good for b in bad]) > 0.75
 
 
+@pytest.mark.parametrize("model", ["lda", "qda", "svm", "rbf_svm"])
+def test_models_separate_targets_from_decoys_by_default_settings(spark, model):
+    t = scoring.semi_supervised(decoy_table(spark), ["good", "noise"], ["row_id"], model, init_fdr=0.3, train_fdr=0.3, max_iter=2).collect()
+    good, bad = [r["score"] for r in t if not r["is_decoy"]], [r["score"] for r in t if r["is_decoy"]]
+    assert np.mean([a > b for a in good for b in bad]) > 0.75
+
+
+def test_newton_steps_settle_or_warn(spark):
+    t = scoring.standardised(decoy_table(spark), ["good", "noise"]).withColumn("label", F.when(F.col("is_decoy"), -1).otherwise(1)).cache()
+    fitted = scoring.fit_squared_hinge(t, 2)
+    x = np.array([[*r["x"], 1.0] for r in t.collect()])
+    y = np.array([r["label"] for r in t.collect()])
+    beta = np.append(fitted.weights, fitted.bias)
+    on = y * (x @ beta) < 1
+    slope = np.append(beta[:2], 1e-6 * beta[2]) - 2 * (x[on].T @ (y[on] * (1 - (y * (x @ beta))[on])))
+    assert np.abs(slope).max() < 1e-3
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        scoring.fit_squared_hinge(t, 2, rounds=1)
+
+
+def test_model_queries_run_with_the_default_settings(spark, monkeypatch):
+    import inspect
+
+    from massloom.plans import queries_scoring
+
+    seen = []
+    assert inspect.signature(scoring.semi_supervised).parameters["max_iter"].default == 5
+    for name in ("semi_supervised", "two_rounds"):
+        monkeypatch.setattr(scoring, name, lambda df, *a, own=inspect.signature(getattr(scoring, name)), **k: (seen.append((own.bind(df, *a, **k).arguments)), df.selectExpr("*", "0d score", "0d score_r1", "0d score_r2", "0d q_value"))[1])
+    for name in ("m5_lda", "m6_linear_svm", "m7_gradient_boosting", "m8_rbf_svm", "m9_qda", "m3_m4_m12_two_rounds"):
+        getattr(queries_scoring, name)(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 6 and all(not {"init_fdr", "train_fdr", "max_iter", "options"} & set(a) for a in seen)
+
+
 def test_lda_weights_equal_numpy(spark):
     t = scoring.standardised(decoy_table(spark), ["good", "noise"]).withColumn("label", F.when(F.col("is_decoy"), -1).otherwise(1))
     fitted = scoring.fit_lda(t, 2)
