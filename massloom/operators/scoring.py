@@ -249,14 +249,43 @@ def best_seed(df: DataFrame, features: list[str], key: list[str], fdr: float, sk
     return row["feature"], row["direction"], row["n"]
 
 
+def seed_score(table: DataFrame, features: list[str], key: list[str], fdr: float, least_positives: int = 50, skip: tuple[str, ...] = ()) -> DataFrame:
+    """``table`` (with x) and a score: the best feature either way; while fewer than ``least_positives`` targets
+    pass, the best sum or difference of two scaled features, then a tree of depth 3, if they pass more."""
+    name, way, n = best_seed(table, features, key, fdr, skip)
+    score = F.coalesce(F.col(name).cast("double") * way, F.lit(-1e300))
+    at = [k for k, f in enumerate(features) if f not in skip]
+    moving = table.agg(*(F.stddev_pop(F.get("x", k)).alias(f"s{k}") for k in at)).first()
+    at = [k for k in at if moving[f"s{k}"]]
+    pairs = {f"{sign}{i}_{j}": F.get("x", i) + sign * F.get("x", j) for a, i in enumerate(at) for j in at[a + 1 :] for sign in (1, -1)}
+    if n < least_positives and pairs:
+        # in groups, so that the unpivoted rows stay few times the table
+        for first in range(0, len(pairs), 64):
+            some = {f"_pair{k}": c for k, c in list(pairs.items())[first : first + 64]}
+            wide = table.select(*key, "is_decoy", *(c.alias(f) for f, c in some.items()))
+            found, direction, more = best_seed(wide, list(some), key, fdr)
+            if more > n:
+                n, score = more, some[found] * direction
+    out = table.withColumn("score", score)
+    if n < least_positives and at and out.select("is_decoy").distinct().count() == 2:
+        from pyspark.ml.classification import DecisionTreeClassifier
+
+        wide = table.withColumn("_v", array_to_vector(F.array(*(F.get("x", k) for k in at)))).withColumn("_y", (~F.col("is_decoy")).cast("double"))
+        tree = DecisionTreeClassifier(featuresCol="_v", labelCol="_y", maxDepth=3, minInstancesPerNode=20, seed=0).fit(wide)
+        leaf = tree.transform(wide).withColumn("score", vector_to_array("probability")[1]).drop("_v", "_y", "rawPrediction", "probability", "prediction")
+        if best_seed(leaf, ["score"], key, fdr)[2] > n:
+            out = leaf
+    return out
+
+
 def semi_supervised(df: DataFrame, features: list[str], key: list[str], model: str = "lda", init_fdr: float = 0.2, train_fdr: float = 0.05, max_iter: int = 5, least_positives: int = 50, start: Column | None = None, skip: tuple[str, ...] = (), **options) -> DataFrame:
-    """df with a score. Positives begin as the targets at the FDR by the best feature (or by ``start``),
+    """df with a score. Positives begin as the targets at the FDR by the best seed (or by ``start``),
     then are those at the FDR by the last out-of-fold scores, until their number changes by less than 1 %."""
     table = standardised(df, features).cache()
     if start is None:
-        name, way, _ = best_seed(table, features, key, init_fdr, skip)
-        start = F.coalesce(F.col(name).cast("double") * way, F.lit(-1e300))
-    scored = table.withColumn("score", start)
+        scored = seed_score(table, features, key, init_fdr, least_positives, skip)
+    else:
+        scored = table.withColumn("score", start)
     before = None
     for _ in range(max_iter):
         ranked = tdc_q_values(scored, "score", F.col("is_decoy"), key, out="_q")

@@ -169,6 +169,39 @@ def test_model_queries_run_with_the_default_settings(spark, monkeypatch):
     assert len(seen) == 6 and all(not {"init_fdr", "train_fdr", "max_iter", "options"} & set(a) for a in seen)
 
 
+def passing(t, fdr):
+    from massloom.operators.ordered import tdc_q_values
+
+    return tdc_q_values(t, "score", F.col("is_decoy"), ["row_id"], out="q").where(f"not is_decoy and q <= {fdr}").count()
+
+
+def test_weak_seeds_are_sought_in_pairs_and_trees(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        # apart in a - b only
+        u, decoy = float(rng.normal(0, 20)), i % 2 == 1
+        rows.append((i, decoy, u + (0 if decoy else 3) + float(rng.normal(0, 0.5)), u))
+    pair = scoring.standardised(spark.createDataFrame(rows, "row_id int, is_decoy boolean, a double, b double"), ["a", "b"])
+    assert scoring.best_seed(pair, ["a", "b"], ["row_id"], 0.05)[2] < 50
+    assert passing(scoring.seed_score(pair, ["a", "b"], ["row_id"], 0.05), 0.05) >= 100
+    # targets lie in the middle of a, which two cuts find and no ranking of sums
+    rows = [(i, i % 2 == 1, float(rng.uniform(-1, 1) * (1 if i % 2 else 0.03)), float(rng.normal())) for i in range(2000)]
+    tree = scoring.standardised(spark.createDataFrame(rows, "row_id int, is_decoy boolean, a double, b double"), ["a", "b"])
+    assert scoring.best_seed(tree, ["a", "b"], ["row_id"], 0.1)[2] < 50
+    assert passing(scoring.seed_score(tree, ["a", "b"], ["row_id"], 0.1), 0.1) >= 500
+
+
+def test_model_settings_reach_the_models():
+    from massloom.plans.config import load
+    from massloom.plans.rescore import model_options
+
+    assert model_options(load(model="svm", svm_c=0.3)) == {"c": 0.3}
+    assert model_options(load(model="gbt")) == {"trees": 200, "depth": 3, "rate": 0.1}
+    assert model_options(load(model="gbt", gbt_n_estimators=7, gbt_max_depth=2, gbt_learning_rate=0.2)) == {"trees": 7, "depth": 2, "rate": 0.2}
+    assert model_options(load(model="rbf_svm", rbf_svm_gamma=0.02)) == {"c": 1.0, "gamma": 0.02} and model_options(load()) == {}
+
+
 def test_lda_weights_equal_numpy(spark):
     t = scoring.standardised(decoy_table(spark), ["good", "noise"]).withColumn("label", F.when(F.col("is_decoy"), -1).otherwise(1))
     fitted = scoring.fit_lda(t, 2)
