@@ -119,7 +119,7 @@ def g9_match_candidates(s, d):
 
 
 def _targets(s, d):
-    t = peptide_table.digest_with_decoys(proteins(s, d), missed=0, decoys=False)
+    t = peptide_table.digest_with_decoys(proteins(s, d), missed=2, decoys=False)
     from massloom.plans.rescore import features_from_masses
 
     f = features_from_masses(t)
@@ -141,7 +141,7 @@ def rescore_winners(s, d):
 
 @query()
 def p2_g1_shuffled_decoys(s, d):
-    t = peptide_table.digest_with_decoys(proteins(s, d), missed=0)
+    t = peptide_table.digest_with_decoys(proteins(s, d), missed=2)
     return t.groupBy("is_decoy", F.length("peptide").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mass"), 3).alias("mean_mass"))
 
 
@@ -149,8 +149,8 @@ def p2_g1_shuffled_decoys(s, d):
 def g2_identified_digest(s, d):
     p = proteins(s, d)
     ids = p.where("cast(accession as long) % 2 = 0").select("accession")
-    seen = peptide_table.digest(p, 0).where(F.xxhash64("peptide") % 10 == 0).groupBy(F.col("peptide").alias("sequence")).agg(F.min("protein").alias("evidence_protein"))
-    return peptide_table.digest_identified(p, ids, seen, missed=0).groupBy("source", "is_decoy").agg(F.count(F.lit(1)).alias("n"))
+    seen = peptide_table.digest(p).where(F.xxhash64("peptide") % 10 == 0).groupBy(F.col("peptide").alias("sequence")).agg(F.min("protein").alias("evidence_protein"))
+    return peptide_table.digest_identified(p, ids, seen).groupBy("source", "is_decoy").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -166,35 +166,35 @@ def g4_mz_shuffle(s, d):
 
 @query()
 def g5_substitution(s, d):
-    return peptide_table.substitution_decoys(_targets(s, d)[0], tries=8).select("peptide", "protein", "is_decoy", "mass")
+    return peptide_table.substitution_decoys(_targets(s, d)[0]).select("peptide", "protein", "is_decoy", "mass")
 
 
 @query()
 def g6_entrapment(s, d):
     _, f, cand = _targets(s, d)
     foreign = proteins(s, d).select("accession", F.reverse("sequence").alias("sequence"))
-    return peptide_table.entrapment(foreign, cand, f, missed=0).select("peptide", "protein", "feature_idx", "is_decoy")
+    return peptide_table.entrapment(foreign, cand, f).select("peptide", "protein", "feature_idx", "is_decoy")
 
 
 @query()
 def g7_shuffled_entrapment(s, d):
-    return peptide_table.shuffled_entrapment(peptide_table.digest(proteins(s, d), 0).withColumnRenamed("peptide", "sequence"), missed=0).select("peptide", "protein", "is_decoy", "mass")
+    return peptide_table.shuffled_entrapment(peptide_table.digest(proteins(s, d)).withColumnRenamed("peptide", "sequence")).select("peptide", "protein", "is_decoy", "mass")
 
 
 @query()
 def g8_balanced_shuffle(s, d):
     _, f, cand = _targets(s, d)
-    return peptide_table.balanced_shuffle(proteins(s, d), cand, f, rounds=2, block=1, missed=0).select("peptide", "feature_idx", "is_decoy", "n_candidates")
+    return peptide_table.balanced_shuffle(proteins(s, d), cand, f).select("peptide", "feature_idx", "is_decoy", "n_candidates")
 
 
 @query()
 def g8_paired_shuffle(s, d):
     _, f, cand = _targets(s, d)
-    return peptide_table.balanced_shuffle(proteins(s, d), cand, f, rounds=2, block=1, by="feature", missed=0).select("peptide", "feature_idx", "is_decoy", "n_candidates")
+    return peptide_table.balanced_shuffle(proteins(s, d), cand, f, by="feature").select("peptide", "feature_idx", "is_decoy", "n_candidates")
 
 
 @query()
 def g10_extra_peptides(s, d):
     t, _, _ = _targets(s, d)
-    more = peptide_table.digest_with_decoys(proteins(s, d).select("accession", F.reverse("sequence").alias("sequence")), missed=0, decoys=False)
+    more = peptide_table.digest_with_decoys(proteins(s, d).select("accession", F.reverse("sequence").alias("sequence")), missed=2, decoys=False)
     return peptide_table.extra_peptides(t, more).groupBy(F.length("peptide").alias("len")).agg(F.count(F.lit(1)).alias("n"))

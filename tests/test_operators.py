@@ -241,6 +241,25 @@ def test_decoy_generators(spark):
         assert sorted(r["peptide"] for r in again.collect()) == sorted(r["peptide"] for r in subs)
 
 
+def test_decoy_queries_reach_balance_and_keep_missed_cleavages(spark, tmp_path):
+    from massloom.plans import queries_chemistry as Q
+
+    texts = [(r["doc_id"], r["text"][:150]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    _, f, cand = Q._targets(spark, str(tmp_path))
+    assert cand.where(C.missed_cleavages(F.col("peptide")) == 2).count() > 0
+
+    def reached(rows):
+        sides = [{}, {}]
+        for p, d in {(r["peptide"], r["is_decoy"]) for r in rows}:
+            sides[d][len(p)] = sides[d].get(len(p), 0) + 1
+        return sum(min(n, sides[1].get(k, 0)) for k, n in sides[0].items()) / sum(sides[0].values())
+
+    full = reached(Q.g8_balanced_shuffle(spark, str(tmp_path)).collect())
+    short = reached(peptide_table.balanced_shuffle(Q.proteins(spark, str(tmp_path)), cand, f, rounds=2, block=1).collect())
+    assert full > 0.5 and full > 5 * short
+
+
 def test_kde_pep_falls_with_the_score(spark):
     rows = sorted(scoring.kde_pep(decoy_table(spark, 3.0), "good").collect(), key=lambda r: r["good"])
     assert rows[10]["pep"] > 0.8 and rows[-10]["pep"] < 0.2 and all(0 <= r["pep"] <= 1 for r in rows)
