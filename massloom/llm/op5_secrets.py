@@ -13,6 +13,7 @@ once each, other columns are ignored, an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -60,6 +61,17 @@ class Novelty:
         return (len(tool.compress(context[-64:] + candidate.encode())) - without) / max(1, len(candidate))
 
 
+#: Alphabets by which a run may be written, smallest first, with their sizes; marks between count as further letters.
+ALPHABETS = tuple((re.compile(f"[{a}+/_=-]+"), n) for a, n in (("0-9A-F", 16), ("0-9a-f", 16), ("0-9A-Fa-f", 22), ("A-Z2-7", 32), ("a-z2-7", 32), ("0-9A-Z", 36), ("0-9a-z", 36), ("0-9A-Za-z", 62)))
+MARKS, MEASURED = frozenset("+/_-"), 4096
+
+
+def bar(run: str, least_share: float) -> float:
+    """The bytes per character to reach: ``least_share`` is for 64 letters, smaller alphabets have less to give."""
+    size = next(n for a, n in ALPHABETS if a.fullmatch(run)) + len(MARKS.intersection(run))
+    return least_share * min(1.0, math.log2(size) / 6)
+
+
 def value_start(run: str) -> int:
     """Where the value of a run like name=value begins: behind names, which hold a sensitive word or no digit."""
     at = 0
@@ -70,7 +82,7 @@ def value_start(run: str) -> int:
 
 def candidates(text: str, at: int, reach: int) -> Iterator[tuple[int, int]]:
     """(start, end) of runs that begin within reach of ``at``, the end of a sensitive word, names left out."""
-    stop = min(len(text), at + reach + 4096)
+    stop = min(len(text), at + reach + MEASURED)
     if tie := TIE.match(text, at):
         # the word is part of a run, which no candidate can start within
         rest = CANDIDATE_REST.match(text, tie.end(), stop)
@@ -83,6 +95,15 @@ def candidates(text: str, at: int, reach: int) -> Iterator[tuple[int, int]]:
         yield start if c.end() - start >= LEAST else c.start(), c.end()
 
 
+def covered(base: list[tuple[int, int, int]], a: int, b: int) -> bool:
+    """Whether the base spans, in order of their starts, cover all of a to b."""
+    for x, _, y in base:
+        if x > a:
+            break
+        a = max(a, y)
+    return a >= b
+
+
 def find_spans(text: str, novelty: Novelty, reach: int = 48, surround: int = 2048, least_share: float = 0.7) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span, by start, then kind."""
     spans = []
@@ -101,11 +122,12 @@ def find_spans(text: str, novelty: Novelty, reach: int = 48, surround: int = 204
                 continue
             seen.add((a, b))
             s = text[a:b]
-            if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or any(x < b and a < y for x, _, y in base):
+            if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or covered(base, a, b):
                 continue
-            if novelty.share(text[max(0, a - surround) : a], s) >= least_share:
-                spans.append((a, 3, b))
-                end = b
+            if novelty.share(text[max(0, a - surround) : a], s) >= bar(s, least_share):
+                # the search sees a run's beginning only; the secret is all of it
+                end = CANDIDATE_REST.match(text, a).end()
+                spans.append((a, 3, end))
     return sorted(set(spans))
 
 

@@ -65,3 +65,21 @@ def test_values_glued_to_their_names_are_found():
             assert find_spans(text, novelty) == [(start, 3, end)], text
             assert redact(text, find_spans(text, novelty)) == before + "[SECRET]" + behind.removeprefix("==")
     assert find_spans("session_id=1 private_key=short1 access_key_file=settings", novelty) == []
+
+
+def test_long_runs_and_small_alphabets_are_whole():
+    import random
+
+    rng, novelty = random.Random(4), Novelty()
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters, sizes in ((digits + "ABCDEF", (32, 64, 80, 128, 512)), (upper + "234567", (64, 512, 3000)), (digits + upper.lower(), (64, 512)), (digits + upper + upper.lower() + "+/", (64, 4096, 5000, 100_000))):
+        for n in sizes:
+            text = "private key: " + draw(letters, n) + " and more"
+            assert find_spans(text, novelty) == [(13, 3, 13 + n)], (letters, n)
+            assert redact(text, find_spans(text, novelty)) == "private key: [SECRET] and more"
+    # a base span inside does not hide the run around it
+    text = "private key: " + draw(digits + upper, 40) + "AKIA" + draw(upper, 16) + "x" + draw(digits + upper.lower(), 40)
+    assert (13, 3, len(text)) in find_spans(text, novelty)
+    for dull in ("A1B2" * 200, "Z" * 300 + "1", "THE-QUICK-BROWN-FOX-1-" * 40):
+        assert find_spans("private key: " + dull, novelty) == []
