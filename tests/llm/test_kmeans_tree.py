@@ -69,3 +69,9 @@ def test_best_bin_first_starts_at_the_own_leaf(most):
     own = tree.leaf_of(x[:50])
     hits = np.mean([own[n] in tree.visits(x[n], most) for n in range(50)])
     assert hits > (0.7 if most == 1 else 0.9) and len(tree.visits(x[0], 10**6)) == tree.leaves
+
+
+def test_calibration_aims_well_above_the_contract():
+    import inspect
+
+    assert K.RECALL >= 0.97 and inspect.signature(K.nearest).parameters["recall"].default == K.RECALL
