@@ -24,7 +24,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-SF = "/root/testdata/sf0.01"
-SMALL = "/root/testdata/sf0.001"
