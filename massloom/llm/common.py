@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space, tab, newline, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Narrow rows that one file of a checkpoint holds, where their number is known.
+FILE_ROWS = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +34,18 @@ def once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later reads survive the loss of executors."""
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Reliable checkpoint: later reads survive the loss of executors. Where the number of narrow
+    rows is known, they go to no more files than they fill: ``FILE_ROWS`` each."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
+
+
+def settled(df: DataFrame, rows: int | None = None, **measures: Column) -> tuple[DataFrame, dict]:
+    """The table with its lineage cut, and the measures over its rows, taken while it is written."""
+    seen = Observation()
+    first, *more = [value.alias(name) for name, value in measures.items()]
+    return cut_lineage(df.observe(seen, first, *more), rows), seen.get
 
 
 def words_of(text: Column) -> Column:

@@ -29,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.common import cut_lineage, read_table
+from massloom.llm.common import cut_lineage, read_table, settled
 from massloom.llm.graph import components
 from massloom.llm.hashing import WordHasher, mix, shingles
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Choices per node at the levels below the first; nodes of a bucket that need no further split.
 BRANCH, BUCKET_ROWS = 2.0, 64
-#: Nodes of a block in the exact comparison of a group, and in a leaf that can't be split.
-BLOCK, LEAF_BLOCK = 512, 1024
+#: Nodes of a block in the exact comparison of a group, their shingles, and nodes of a block in a leaf that can't be split.
+BLOCK, BLOCK_SHINGLES, LEAF_BLOCK = 512, 1 << 20, 512
+#: Big buckets whose paths are broadcast at most; more are joined by a shuffle.
+AT_HAND = 100_000
 #: Bytes of a sketch, and how far below the threshold its estimate may be.
 SKETCH, MARGIN = 128, 0.17
 
@@ -109,19 +111,20 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, recall: float) -> DataFrame:
-    """id, key (of the text), node (of the set; null if it is empty), shingles, sketch, and paths by level."""
+    """id, key (of the text), node (of the set; null if it is empty), n_shingles, sketch, and paths by level."""
     import xxhash
 
     repeat = runs_needed(threshold, recall)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
+    paths = ("l1", "p2", "l2", "p3", "l3")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher.of_worker()
+        none = np.zeros(0, np.uint64)
         for whole in batches:
             for lo in range(0, len(whole), 512):
                 batch = whole.slice(lo, 512)
-                nodes, sizes, sketches, columns = [], [], [], [[] for _ in range(5)]
-                none = np.zeros(0, np.uint64)
+                nodes, sizes, sketches, columns = [], [], [], [[] for _ in paths]
                 for text in batch.column(2).to_pylist():
                     x = shingles(text, hasher, width)
                     nodes.append(xxhash.xxh128_digest(x.tobytes()) if len(x) else None)
@@ -130,77 +133,115 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, threshol
                     (_, a), (bp, b), (cp, c) = chosen_paths(x, repeat, threshold) if len(x) else [(none, none)] * 3
                     for column, value in zip(columns, (a, bp, b, cp, c), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), *map(_lists, columns)], names=["id", "key", "node", "n_shingles", "sketch", "l1", "p2", "l2", "p3", "l3"])
+                own = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), *own, *map(_lists, columns)],
+                    names=["id", "key", "node", "n_shingles", "sketch", *paths],
+                )
 
-    return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {kind}, key binary, node binary, n_shingles long, sketch binary, l1 array<long>, p2 array<long>, l2 array<long>, p3 array<long>, l3 array<long>")
+    read = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    lists = ", ".join(f"{p} array<long>" for p in paths)
+    return read.mapInArrow(sign, f"id {kind}, key binary, node binary, n_shingles long, sketch binary, {lists}")
 
 
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def leaf_edges(rows: DataFrame, least: float) -> DataFrame:
-    """Rows (path, i, j, block, node, sketch): spanning edges (a, b) of the pairs that look alike in each group."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, out = None, [], []
+def _bytes_matrix(column: pa.Array) -> np.ndarray:
+    """A column of sketches, without nulls, as rows of bytes."""
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at = column.offset
+    first = np.frombuffer(column.buffers()[1], np.int32)[at] if len(column) else 0
+    return flat[first : first + SKETCH * len(column)].reshape(-1, SKETCH)
 
-        def close() -> None:
-            group.sort()
-            if len(group) < 2:
-                return
-            split = sum(g[0] == group[0][0] for g in group) if at[1] != at[2] else None
-            roots = spanning(alike(np.frombuffer(b"".join(g[2] for g in group), np.uint8).reshape(-1, SKETCH), least, split))
-            out.extend((g[1], group[r][1]) for k, (g, r) in enumerate(zip(group, roots, strict=True)) if r != k)
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 2
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
+def leaf_edges(rows: DataFrame, least: float) -> DataFrame:
+    """Rows (path, i, j, block, rid, sketch): spanning edges (a, b) of the pairs that look alike in each group.
+
+    Groups of two are compared together, others one by one; a group has a bounded number of rows.
+    """
+
+    def groups(batch: pa.RecordBatch) -> np.ndarray:
+        """Where each group begins."""
+        path, i, j = (np.asarray(batch.column(c)) for c in range(3))
+        return np.nonzero(np.r_[True, (path[1:] != path[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])[0]
+
+    def found(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        i, j, block, rid = (np.asarray(batch.column(c)) for c in range(1, 5))
+        sketches, ends = _bytes_matrix(batch.column(5)), np.r_[starts[1:], len(batch)]
+        size = ends - starts
+        two = starts[(size == 2) & ((i[starts] == j[starts]) | (block[starts] != block[ends - 1]))]
+        x, y = sketches[two], sketches[two + 1]
+        both = ((x == 0) & (y == 0)).sum(1)
+        linked = (x == y).sum(1) - both >= least * (SKETCH - both)
+        a, b = [rid[two[linked]]], [rid[two[linked] + 1]]
+        for lo, hi in zip(starts[size > 2], ends[size > 2], strict=True):
+            order = lo + np.lexsort((rid[lo:hi], block[lo:hi]))
+            split = int((block[order] == block[order[0]]).sum()) if i[lo] != j[lo] else None
+            roots = spanning(alike(sketches[order], least, split))
+            moved = np.nonzero(roots != np.arange(len(order)))[0]
+            a.append(rid[order[moved]])
+            b.append(rid[order[roots[moved]]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
-            for path, i, j, block, node, sign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (path, i, j):
-                    if at is not None:
-                        close()
-                    at, group = (path, i, j), []
-                group.append((block, node, sign))
-            yield flush()
-        if at is not None:
-            close()
-        yield flush()
+            if not len(batch):
+                continue
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            starts = groups(batch)
+            # the last group may go on in the next batch
+            rest = batch.slice(starts[-1])
+            if len(starts) > 1:
+                yield found(batch.slice(0, starts[-1]), starts[:-1])
+        if rest is not None:
+            yield found(rest, np.zeros(1, np.int64))
 
     key = ["path", "i", "j"]
-    dealt = rows.select(*key, "block", "node", "sketch").repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(compare, "a binary, b binary")
+    dealt = rows.select(*key, "block", "rid", "sketch").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows with blocks (their number) and node: adds block and, once for each pair of blocks that holds it, i and j."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    """Rows with blocks (their number) and rid: adds block and, once for each pair of blocks that holds it, i and j."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def candidate_edges(nodes: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS, leaf_block: int = LEAF_BLOCK) -> DataFrame:
-    """Edges (a, b) that join the nodes which met in leaves and look alike."""
-    found, big = None, None
+def candidate_edges(signed: DataFrame, nodes: DataFrame, n_nodes: int, threshold: float, bucket_rows: int = BUCKET_ROWS, leaf_block: int = LEAF_BLOCK) -> DataFrame:
+    """Edges (a, b) that join the nodes which met in leaves and look alike.
+
+    The paths of a level are counted with partial sums; big ones are taken out before rows meet,
+    so no task gets a big bucket. ``signed`` has the paths of the further levels, which are read
+    for the nodes of big buckets only.
+    """
+    sketches, expected = nodes.select("rid", "sketch"), 16 * n_nodes
+    rows, leaves = nodes.select("rid", "sketch", F.explode("l1").alias("path")), []
     for level in (1, 2, 3):
-        if level == 1:
-            rows = nodes.select("node", F.explode("l1").alias("path"))
-        else:
-            own = F.filter(F.arrays_zip(F.col(f"p{level}").alias("p"), F.col(f"l{level}").alias("c")), lambda z: z["p"] == F.col("path"))
-            rows = big.join(nodes.select("node", f"p{level}", f"l{level}"), "node").select("node", F.explode(own).alias("z")).select("node", F.col("z.c").alias("path"))
-        rows = cut_lineage(rows)
-        buckets = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
-        leaves = buckets if level == 3 else buckets.where(F.col("n") <= bucket_rows)
-        members = rows.join(leaves.select("path", F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") / leaf_block)).otherwise(1).cast("int").alias("blocks")), "path")
-        found = members if found is None else found.union(members)
-        big = rows.join(buckets.where(F.col("n") > bucket_rows).select("path"), "path", "left_semi")
-        if level < 3:
-            big = cut_lineage(big)
-            if big.limit(1).count() == 0:
-                break
-    met = in_blocks(found.join(nodes.select("node", "sketch"), "node"))
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+        sizes, seen = settled(sizes, expected // bucket_rows, n=F.count(F.lit(1)), met=F.sum("n"))
+        big = F.broadcast(sizes) if seen["n"] <= AT_HAND else sizes
+        rows = rows if level == 1 else rows.join(sketches, "rid")
+        small = rows.join(big.select("path"), "path", "left_anti") if seen["n"] else rows
+        leaves.append(small.select("path", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "rid", "sketch"))
+        if not seen["n"]:
+            break
+        if level == 3:
+            blocks = big.select("path", F.ceil(F.col("n") / leaf_block).cast("int").alias("blocks"))
+            leaves.append(in_blocks(rows.join(blocks, "path")).select("path", "i", "j", "block", "rid", "sketch"))
+            break
+        within = rows.select("rid", "path").join(big.select("path"), "path", "left_semi")
+        p, c = f"p{level + 1}", f"l{level + 1}"
+        own = F.filter(F.arrays_zip(F.col(p).alias("p"), F.col(c).alias("c")), lambda z: z["p"] == F.col("path"))
+        rows = within.join(signed.select("rid", p, c), "rid").select("rid", F.explode(own).alias("z"))
+        expected = int(BRANCH * (seen["met"] or 0))
+        rows = cut_lineage(rows.select("rid", F.col("z.c").alias("path")), expected)
+    met = leaves[0]
+    for more in leaves[1:]:
+        met = met.unionByName(more)
     return leaf_edges(met, threshold - MARGIN).distinct()
 
 
@@ -249,7 +290,7 @@ def spanning(linked: np.ndarray) -> np.ndarray:
 
 
 def exact_links(rows: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Rows (component, i, j, block, node, weight, text) in blocks: per node and block pair, its links and a spanning edge."""
+    """Rows (component, i, j, block, rid, weight, text) in blocks: per node and block pair, its links and a spanning edge."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher.of_worker()
@@ -260,27 +301,28 @@ def exact_links(rows: DataFrame, width: int, threshold: float) -> DataFrame:
             members = sorted(group.items(), key=lambda x: (x[1][0], x[0]))
             if len(members) < 2:
                 return
-            nodes, sets, weights = [m[0] for m in members], [m[1][2] for m in members], np.array([m[1][1] for m in members], np.int64)
+            rids, sets = [m[0] for m in members], [m[1][2] for m in members]
+            weights = np.array([m[1][1] for m in members], np.int64)
             first = members[0][1][0]
             split = sum(m[1][0] == first for m in members) if at[1] != at[2] else None
             linked = pair_links(sets, threshold, split)
             counts, roots = linked.astype(np.int64) @ weights, spanning(linked)
-            out.extend((nodes[k], int(counts[k]), nodes[roots[k]]) for k in np.nonzero(counts)[0])
+            out.extend((rids[k], int(counts[k]), rids[roots[k]]) for k in np.nonzero(counts)[0])
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [()] * 3
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["node", "links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rid", "links", "root"])
 
         for batch in batches:
             for lo in range(0, len(batch), 256):
-                for component, i, j, block, node, weight, text in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                for component, i, j, block, rid, weight, text in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
                     if at != (component, i, j):
                         if at is not None:
                             close()
                         at, group = (component, i, j), {}
-                    if node not in group:
-                        group[node] = (block, weight, shingles(text, hasher, width))
+                    if rid not in group:
+                        group[rid] = (block, weight, shingles(text, hasher, width))
             if len(out) > 10_000:
                 yield flush()
         if at is not None:
@@ -288,41 +330,59 @@ def exact_links(rows: DataFrame, width: int, threshold: float) -> DataFrame:
         yield flush()
 
     key = ["component", "i", "j"]
-    dealt = rows.select(*key, "block", "node", "weight", "text").repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(compare, "node binary, links long, root binary")
+    dealt = rows.select(*key, "block", "rid", "weight", "text").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(compare, "rid long, links long, root long")
+
+
+def _id_text(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """id, key of the text, class_node (null without shingles), class_id, n_links, n_shingles."""
-    signed = cut_lineage(signatures(docs, id_col, text_col, width, threshold, recall))
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("sketch", "l1", "p2", "l2", "p3", "l3")))
-    nodes = cut_lineage(nodes)
-    groups = components(cut_lineage(candidate_edges(nodes, threshold)))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    cand = groups.join(nodes.select("node", "first", "weight"), "node").join(sizes, "component")
-    cand = cut_lineage(cand.select("component", "node", "weight", F.ceil(F.col("members") / block).cast("int").alias("blocks"), F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("_id"), F.col("first.key").alias("_key")))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
-    rows = in_blocks(texts.join(cand, ["_id", "_key"]))
-    links = cut_lineage(exact_links(rows, width, threshold))
-    classes = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.join(nodes.select("node", "first"), "node")
-    names = named.groupBy("component").agg(F.min("first.id").alias("class_id"))
-    linked = named.join(names, "component").join(counted, "node").select("node", "component", "class_id", "links")
-    full = cut_lineage(nodes.select("node", "first", "weight").join(linked, "node", "left").select(F.col("node").alias("_n"), F.coalesce("component", "node").alias("class_node"), F.when(F.col("component").isNull(), F.col("first.id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    signed = cut_lineage(signatures(docs, id_col, text_col, width, threshold, recall).withColumn("rid", F.monotonically_increasing_id()))
+    held = signed.where(F.col("node").isNotNull())
+    # equal sets are one node, called by a row of theirs; a null id is less than others
+    firsts = held.groupBy("node").agg(F.min("rid").alias("rid"), F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("none"), F.count(F.lit(1)).alias("weight"))
+    narrow = held.select("rid", "id", "key", "n_shingles", "sketch", "l1")
+    rows = firsts.count()
+    nodes = cut_lineage(narrow.join(firsts.hint("shuffle_hash"), "rid"), 4 * rows)
+    groups = components(candidate_edges(signed, nodes, rows, threshold), rows)
+    facts = nodes.select("rid", "weight", "id", "key", "n_shingles")
+    members = groups.withColumnRenamed("node", "rid").join(facts, "rid")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("held"))
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
+    cand = members.join(sizes, "component").select("component", "rid", "weight", blocks.alias("blocks"), _id_text(F.col("id")).alias("_id"), F.col("key").alias("_key"))
+    texts = docs.select(_id_text(F.col(id_col)).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
+    links = cut_lineage(exact_links(in_blocks(texts.join(cand.hint("shuffle_hash"), ["_id", "_key"])), width, threshold))
+    classes = components(links.select(F.col("rid").alias("a"), F.col("root").alias("b")), rows).withColumnRenamed("node", "rid")
+    counted = links.groupBy("rid").agg(F.sum("links").alias("links"))
+    named = nodes.select("rid", "node", "weight", "least", "none").join(classes.join(counted, "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    names = named.groupBy("component").agg(F.min("least").alias("class_least"), F.max("none").alias("class_none"))
+    named = named.join(names, "component")
+    full = named.select(
+        F.col("node").alias("_n"),
+        F.col("component").alias("class_node"),
+        F.when(~F.col("class_none"), F.col("class_least")).alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+    )
     out = signed.select("id", "key", "node", "n_shingles").join(full, F.col("node") == F.col("_n"), "left")
-    return out.select("id", "key", "class_node", F.when(F.col("_n").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_shingles")
+    class_id = F.when(F.col("_n").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    return out.select("id", "key", "class_node", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_shingles")
 
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class: least id, then least key of the text.
-    Rows equal in id and text count as one; texts without shingles all stay."""
-    found = jaccard_classes(docs, id_col, text_col)
-    best = found.where(F.col("class_node").isNotNull()).groupBy("class_node").agg(F.min(F.struct("id", "key")).alias("best")).select("best.id", "best.key")
-    bare = found.where(F.col("class_node").isNull()).select("id", "key").distinct()
-    stay = best.union(bare).select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_id"), F.col("key").alias("_key"))
-    own = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_key": text_key(F.col(text_col))})
-    return own.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    Rows equal in id and text count as one; texts without shingles all stay. Any column names do."""
+    found = cut_lineage(jaccard_classes(docs, id_col, text_col))
+    repeats = found.groupBy("id", "key").count().where("count > 1").limit(1).count()
+    own = F.coalesce(F.col("class_node").cast("string"), F.concat_ws(" ", F.lit("-"), F.hex("key"), F.col("id").cast("string")))
+    best = found.groupBy(own.alias("own")).agg(F.min(F.struct("id", "key")).alias("best"))
+    stay = best.select(_id_text(F.col("best.id")).alias("of_id"), F.col("best.key").alias("of_key"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(_id_text(F.col(id_col)).alias("of_id"), text_key(F.col(text_col)).alias("of_key"), whole.alias("row"))
+    rows = rows.join(stay.hint("shuffle_hash"), ["of_id", "of_key"], "left_semi")
+    return (rows.dropDuplicates(["of_id", "of_key"]) if repeats else rows).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,23 @@ def test_odd_and_empty_tables(spark):
     kept = J.keep_one_of_each_class(odd(spark))
     assert kept.columns == odd(spark).columns
     assert sum(r["text"] == "one" for r in kept.collect()) == 1
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [(1, "a b c d e f g", "mine1", "x"), (2, "a b c d e f g", "mine2", "y"), (3, None, "mine3", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_key` string, `of_id` string").withColumnRenamed("of_id", "row")
+    assert sorted(map(tuple, J.keep_one_of_each_class(df).collect())) == [rows[0], rows[2]]
+
+
+def test_a_block_is_bounded_by_its_shingles_too(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    base = rng.choices(words, k=400)
+    rows = []
+    for i in range(40):
+        t = list(base)
+        for _ in range(rng.randint(0, 9)):
+            t[rng.randrange(400)] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 2000)
+    compare(J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
