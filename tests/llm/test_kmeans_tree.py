@@ -45,7 +45,7 @@ def test_full_visits_are_exact_with_copies_and_ties(spark):
     rows = [(i, [float(v) for v in base[i % 8]]) for i in range(400)]
     rows += [(1000 + i, [float(v) for v in rng.normal(size=6)]) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = results(K.nearest(df, recall=1.1, part_rows=50))
+    got = results(K.nearest(df, recall=1.1, region_rows=50))
     want = brute(rows)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
@@ -53,14 +53,33 @@ def test_full_visits_are_exact_with_copies_and_ties(spark):
 def test_odd_vectors_take_no_part(spark):
     nan, inf = math.nan, math.inf
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [inf, 1.0]), (50, [1.0, 0.1]), (100, [0.0, 0.0]), (None, [1.0, 0.2]), (7, []), (8, [1.0]), (50, [1.0, 0.1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as leaf", "'x' as id")
-    got = results(K.nearest(df))
-    assert set(got) == {0, 50}
-    assert [i for i, _ in got[0]][:2] == [50, 50] or [i for i, _ in got[0]][:2] == [50, None]
-    assert {i for i, _ in got[50]} == {0, 1, None}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as leaf", "'x' as id", "2 as rid")
+    found = K.nearest(df).collect()
+    of = lambda q: sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == q)
+    assert {r["query_id"] for r in found} == {0, 50}
+    assert of(0) == [(1, 50), (2, 50), (3, None), (4, 1)]
+    # both rows with id 50 are queries, and candidates of each other
+    assert of(50) == [(1, 50), (1, 50), (2, None), (2, None), (3, 0), (3, 0), (4, 1), (4, 1)]
     assert K.nearest(df.where("false")).count() == 0
 
 
+def test_rows_that_share_an_id_are_queries_of_their_own(spark):
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in K.nearest(df).collect() if r["query_id"] == 50)
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 50), (3, 50)]
+
+
+def test_regions_hold_few_vectors_and_all_leaves():
+    counts = [10, 30, 5, 70, 0, 26, 40]
+    first, parts = K.regions_of(counts, 50)
+    assert parts == [1, 1, 1, 2, 1, 1, 1] and first == [0, 0, 0, 1, 2, 3, 4]
+    load = {}
+    for f, p, c in zip(first, parts, counts, strict=True):
+        for r in range(f, f + p):
+            load[r] = load.get(r, 0) + c / p
+    assert max(load.values()) <= 50
+
+
 @pytest.mark.parametrize("most", [1, 4])
 def test_best_bin_first_starts_at_the_own_leaf(most):
     rng = np.random.default_rng(5)
