@@ -58,7 +58,8 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
-def at_hand(table: DataFrame, most_rows: int = 20_000) -> DataFrame:
-    """A table of statistics by group, marked for broadcast if it is counted to be small; else
-    as it is, for a shuffled join."""
-    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+def at_hand(table: DataFrame, rows: int | None = None, most_rows: int = 20_000) -> DataFrame:
+    """A table of statistics by group, marked for broadcast if it is small by the known bound of its
+    rows, or else by a count; if not, as it is, for a shuffled join."""
+    small = rows is not None and rows <= most_rows or table.limit(most_rows + 1).count() <= most_rows
+    return F.broadcast(table) if small else table

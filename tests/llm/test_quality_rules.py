@@ -45,21 +45,43 @@ def test_odd_and_empty_tables(spark):
 
 def numpy_mcd(x):
     """The same steps on a matrix of whole-number vectors."""
-    floors = np.diag([(s * Q.UNIT) ** 2 for _, s in Q.STATS])
+    floors = np.array([s * Q.UNIT for _, s in Q.STATS])
+
+    def floored(c):
+        c = np.array(c, float)
+        np.fill_diagonal(c, np.maximum(np.diag(c), 0) + floors**2)
+        return c
 
     def estimate(sub, scale):
-        return sub.mean(0), (sub.T @ sub / len(sub) - np.outer(sub.mean(0), sub.mean(0))) * scale + floors
+        return sub.mean(0), floored((sub.T @ sub / len(sub) - np.outer(sub.mean(0), sub.mean(0))) * scale)
 
     def d2(m, c):
         return np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)
 
-    m, c = estimate(x, 1.0)
-    for _ in range(Q.STEPS):
-        bins = np.floor(np.log1p(d2(m, c)) * 16)
-        order = np.sort(bins)
-        edge = order[math.ceil(Q.SUBSET * len(x)) - 1]
-        m, c = estimate(x[bins <= edge], Q.CONSISTENCY)
-    return d2(m, c)
+    def half(v):
+        return np.sort(v)[-(-len(v) // 2) - 1]
+
+    med = np.array([half(v) for v in x.T])
+    scale = np.maximum([1.4826 * half(v) for v in np.abs(x - med).T], floors)
+    z = (x - med) / scale
+    far = (z * z).sum(1)
+    signs = z / np.sqrt(np.where(far > 0, far, 1))[:, None]
+    both = np.outer(scale, scale)
+    t = np.tanh(z)
+    starts = [estimate(x, 1.0), (med, floored(np.eye(5) * both)), (med, floored(signs.T @ signs / len(x) * 5 * both)), (med, floored((t.T @ t / len(x) - np.outer(t.mean(0), t.mean(0))) * both))]
+    logdet = lambda e: np.linalg.slogdet(e[1])[1]
+    for step in range(1, Q.STEPS + 1):
+        new = []
+        for m, c in starts:
+            bins = np.floor(np.log1p(d2(m, c)) * 16)
+            edge = np.sort(bins)[math.ceil(Q.SUBSET * len(x)) - 1]
+            new.append(estimate(x[bins <= edge], Q.CONSISTENCY))
+        fell = any(logdet(b) < logdet(a) - 2 * Q.FALL for a, b in zip(starts, new, strict=True))
+        starts = sorted(new, key=logdet)[: Q.GO_ON] if step == Q.FIRST_STEPS else new
+        if step > Q.FIRST_STEPS and not fell:
+            break
+    m, c = min(starts, key=logdet)
+    return d2(*estimate(x[d2(m, c) <= Q.WITHIN], Q.WITHIN_CONSISTENCY))
 
 
 def test_distances_equal_numpy(spark):
@@ -88,3 +110,25 @@ def test_clean_documents_stay_and_junk_goes(spark):
     n = {(r["quality"], r["kept"]): r["count"] for r in rows}
     assert n.get((1, False), 0) <= 0.002 * n[1, True]
     assert n.get((0, True), 0) <= 0.02 * n[0, False]
+
+
+def test_a_third_of_a_source_as_one_cluster_of_junk_is_rejected(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        n = int(rng.integers(60, 300))
+        words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(n)]
+        if i % 20 < 7:
+            words = [w + "#" * int(rng.integers(2, 5)) for w in words]
+        rows.append((i, " ".join(words), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in Q.quality_verdicts(df, ["doc_id"]).where("kept").collect()}
+    assert not any(i % 20 < 7 for i in kept)
+    assert len(kept) >= 0.99 * sum(i % 20 >= 7 for i in range(600))
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [(i, "some words that go on " * 3 + f"w{i}", "en", "s", i, "x", 5) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept long, grp string, d2 int")
+    got = Q.quality_verdicts(df, df.columns, wide=True)
+    assert sorted((r["kept"], r["grp"], r["d2"]) for r in got.collect()) == [(i, "x", 5) for i in range(30)]
