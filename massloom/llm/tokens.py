@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -9,9 +10,13 @@ from array import array
 from itertools import chain
 from types import ModuleType
 
+import numpy as np
+
 WORD_BPE = "word_bpe_49k.json"
 #: Words in the cache of one worker process unless said otherwise, and characters of the longest that stays in it.
 CACHE_WORDS, CACHE_CHARS = 1 << 19, 48
+#: Words that are given to the tokenizer as one text.
+JOINED = 256
 #: A word whose ids are those of its letters in lower case and of its closing marks.
 SIMPLE = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([.,;:!?]*)")
 
@@ -39,6 +44,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name_or_path))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # which ids end a word, if the model marks them
+        mark = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if mark:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(mark)]] = True
         self.cache: dict[str, bytes] = {"": b""}
         self.limit = limit
 
@@ -54,20 +66,39 @@ class WordEncoder:
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, many at a time: each word is one piece, whose last id marks its end."""
+        if self.ends is None:
+            return self._ids(words)
+        out: list[bytes] = []
+        for lo in range(0, len(words), JOINED):
+            part = words[lo : lo + JOINED]
+            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.uint32)
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                # the file's rule doesn't take each word as one piece
+                out += self._ids(part)
+                continue
+            flat, cuts = ids.tobytes(), (4 * cuts).tolist()
+            out += [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
+
     def _learn(self, words: set[str]) -> None:
         """Puts these words into the cache."""
-        cache, split, whole = self.cache, [], set()
+        cache, split, whole, letters = self.cache, [], set(), set()
         for w in words:
             if len(w) <= CACHE_CHARS and (m := SIMPLE.fullmatch(w)):
                 base, marks = m[1].lower(), m[2]
                 if marks or base != w:
                     split.append((w, base, marks))
                     whole.add(marks)
-                whole.add(base)
+                letters.add(base)
             else:
                 whole.add(w)
-        new = [w for w in whole if w not in cache]
-        cache.update(zip(new, self._ids(new), strict=True))
+        for found, ids_of in ((whole, self._ids), (letters, self._ids_of_letters)):
+            new = [w for w in found if w not in cache]
+            cache.update(zip(new, ids_of(new), strict=True))
         for w, base, marks in split:
             cache[w] = cache[base] + cache[marks]
 
