@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Narrow rows that one file of a checkpoint holds, where their number is known.
 FILE_ROWS = 100_000
+#: Bytes that a file of texts is to have at least, and that a word takes, about, where a table's size is guessed.
+FILE_BYTES, WORD_BYTES = 16 << 20, 6
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,11 @@ def settled(df: DataFrame, rows: int | None = None, **measures: Column) -> tuple
     return cut_lineage(df.observe(seen, first, *more), rows), seen.get
 
 
+def in_large_files(df: DataFrame, size: int, least: int = FILE_BYTES) -> DataFrame:
+    """The table in no more partitions than its size in bytes fills, for tables that are written next."""
+    return df.coalesce(max(1, size // least))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -6,7 +6,7 @@ the half of the rows whose covariance determinant is least. They start from four
 estimates: all rows' moments, medians with median deviations, spatial signs, and hyperbolic
 tangents of the rows about the medians. In a step, distances to the estimate are binned, and
 the bins that hold the nearest ``subset`` of the rows give the next mean and covariance. After
-two steps the two starts of least determinant go on, until no determinant falls; the least
+two steps the two starts of least determinant go on, until no determinant falls by a thousandth; the least
 one's rows within the 0.975 quantile give the last estimate. A row whose squared Mahalanobis
 distance to it exceeds the cutoff is rejected. With half of the rows in the subset, the
 estimate holds as long as less than half of a group is junk. All of it is DataFrame
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from massloom.llm.common import at_hand, cut_lineage, read_table, settled
+from massloom.llm.common import at_hand, cut_lineage, in_large_files, read_table, settled
 from massloom.llm.text_stats import with_text_stats
 
 #: Units of a transformed statistic per 1.0; the vectors are whole numbers of these.
@@ -41,7 +41,7 @@ WITHIN, WITHIN_CONSISTENCY = 12.8325, 1.0555
 #: Least squared distance that rejects (the 0.999 quantile), least rows of a group with an estimate of its own, and most steps.
 CUTOFF, LEAST_ROWS, STEPS = 20.515, 200, 12
 #: Steps from all starts, starts that go on, and the least fall of a log determinant that counts.
-FIRST_STEPS, GO_ON, FALL = 2, 2, 1e-6
+FIRST_STEPS, GO_ON, FALL = 2, 2, 1e-3
 #: Units of a product of scaled statistics per 1.0.
 FINE = float(1 << 20)
 
@@ -232,11 +232,12 @@ def quality_verdicts(docs: DataFrame, keep: list[str], text_col: str = "text", c
     """The columns of ``keep`` and the statistics, base_failed, d2 and kept. ``docs`` has lang and source.
 
     Every text is measured once. With ``wide``, the columns of ``keep`` hold texts: then the
-    steps read a narrow copy of the measured rows.
+    steps read a narrow copy of the measured rows, and the result is in partitions of some size.
     """
-    rows = cut_lineage(_measured(docs, keep, text_col))
+    rows, seen = settled(_measured(docs, keep, text_col), n=F.count(F.lit(1)), chars=F.sum("word_chars"))
     narrow = rows.select("lang", "source", "base_failed", *(f"x{i}" for i in range(len(STATS))))
-    est = fit_estimates(cut_lineage(narrow) if wide else narrow, subset, least_rows, steps)
+    est = fit_estimates(cut_lineage(narrow, 4 * seen["n"]) if wide else narrow, subset, least_rows, steps)
+    rows = in_large_files(rows, seen["chars"] or 0) if wide else rows
     last = with_distance(_with_keys(rows).join(at_hand(est), ["_l", "_s"], "left"))
     verdict = ~F.col("base_failed") & ~F.coalesce((F.col("d2") > cutoff) & (F.col("_n") >= least_rows * subset * 0.9), F.lit(False))
     own = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.common import cut_lineage, read_table, settled
+from massloom.llm.common import WORD_BYTES, cut_lineage, in_large_files, read_table, settled
 from massloom.llm.graph import components
 from massloom.llm.hashing import WordHasher, mix, shingles
 
@@ -346,7 +346,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = held.groupBy("node").agg(F.min("rid").alias("rid"), F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("none"), F.count(F.lit(1)).alias("weight"))
     narrow = held.select("rid", "id", "key", "n_shingles", "sketch", "l1")
     rows = firsts.count()
-    nodes = cut_lineage(narrow.join(firsts.hint("shuffle_hash"), "rid"), 4 * rows)
+    nodes = cut_lineage(narrow.join(firsts, "rid"), 4 * rows)
     groups = components(candidate_edges(signed, nodes, rows, threshold), rows)
     facts = nodes.select("rid", "weight", "id", "key", "n_shingles")
     members = groups.withColumnRenamed("node", "rid").join(facts, "rid")
@@ -354,7 +354,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     cand = members.join(sizes, "component").select("component", "rid", "weight", blocks.alias("blocks"), _id_text(F.col("id")).alias("_id"), F.col("key").alias("_key"))
     texts = docs.select(_id_text(F.col(id_col)).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
-    links = cut_lineage(exact_links(in_blocks(texts.join(cand.hint("shuffle_hash"), ["_id", "_key"])), width, threshold))
+    links = cut_lineage(exact_links(in_blocks(texts.join(cand, ["_id", "_key"])), width, threshold))
     classes = components(links.select(F.col("rid").alias("a"), F.col("root").alias("b")), rows).withColumnRenamed("node", "rid")
     counted = links.groupBy("rid").agg(F.sum("links").alias("links"))
     named = nodes.select("rid", "node", "weight", "least", "none").join(classes.join(counted, "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
@@ -374,15 +374,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class: least id, then least key of the text.
     Rows equal in id and text count as one; texts without shingles all stay. Any column names do."""
-    found = cut_lineage(jaccard_classes(docs, id_col, text_col))
+    found, seen = settled(jaccard_classes(docs, id_col, text_col), words=F.sum("n_shingles"))
     repeats = found.groupBy("id", "key").count().where("count > 1").limit(1).count()
     own = F.coalesce(F.col("class_node").cast("string"), F.concat_ws(" ", F.lit("-"), F.hex("key"), F.col("id").cast("string")))
     best = found.groupBy(own.alias("own")).agg(F.min(F.struct("id", "key")).alias("best"))
     stay = best.select(_id_text(F.col("best.id")).alias("of_id"), F.col("best.key").alias("of_key"))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rows = docs.select(_id_text(F.col(id_col)).alias("of_id"), text_key(F.col(text_col)).alias("of_key"), whole.alias("row"))
-    rows = rows.join(stay.hint("shuffle_hash"), ["of_id", "of_key"], "left_semi")
-    return (rows.dropDuplicates(["of_id", "of_key"]) if repeats else rows).select("row.*")
+    rows = rows.join(stay, ["of_id", "of_key"], "left_semi")
+    rows = rows.dropDuplicates(["of_id", "of_key"]) if repeats else rows
+    return in_large_files(rows, WORD_BYTES * (seen["words"] or 0)).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
