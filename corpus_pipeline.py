@@ -2,6 +2,11 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the
 last return the columns of ``documents``.
+
+Null texts count as empty: the first stage drops them, as it does all texts of fewer than 50
+words. Very long texts are taken whole. Of rows equal in id and text one stays; ties go to the
+least id. Null ids, languages and sources are values of their own. An empty table passes
+through every stage as one. Further columns of any names are passed on by all but the last.
 """
 
 from __future__ import annotations
@@ -35,9 +40,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, none to three times."""
-    plan = mix_plan(docs, docs.columns, suffix="_mix")
-    return plan.where("copies_mix > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies_mix").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it, none to three times. Any column names do."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    plan = mix_plan(docs.select("doc_id", "text", "source", whole.alias("row")), ["row"], wide=True)
+    return plan.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
