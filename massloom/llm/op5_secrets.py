@@ -1,21 +1,27 @@
 """Secret scans: fixed patterns, and novelty under a primed zstandard compressor.
 
 Three patterns give the base spans. Beyond them, a candidate is a long mixed run of
-letters and digits near a sensitive word, or glued to it (``access_key=...``). It is compressed behind the code around it by a
-compressor that is primed with a dictionary of identifiers and of common words; the bytes
-that it adds, per character, measure how little of it the surroundings explain. Candidates
-that stay nearly incompressible are reported as spans of kind ``novel``.
-
-Null texts are empty. Offsets are code points; ends are exclusive. Repeated rows are scanned
-once each, other columns are ignored, an empty table gives no rows.
+letters and digits near a sensitive word, or glued to it (``access_key=...``). It is compressed
+behind the ``surround`` characters on either side of it, copies of itself left out, by a
+compressor that is primed with a dictionary: a fixed list of common words, and the parts of the
+corpus's own identifiers and pairs of them, counted over all texts by how many different identifiers they stand
+in (so copies of a text add nothing). The bytes that the candidate adds, per character, measure
+how little of it these explain. Candidates that add nearly as much as random strings of their
+alphabet and length are reported as spans of kind ``novel``.
+
+Null texts are empty; long texts are scanned whole, and a secret is reported to its end however
+long it is. Offsets are code points; ends are exclusive. Repeated rows are scanned once each,
+other columns are ignored (in ``redact_secrets`` passed on), whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,31 +51,90 @@ IDENTIFIERS = " ".join(
 ).encode()
 
 
+#: What a code identifier has and plain words haven't; its characters; its parts; how long it may be.
+CODE_MARK, RUN_CHARS, LONGEST = re.compile(r"[a-z][A-Z]|_|[A-Za-z][0-9]"), re.compile(r"[A-Za-z0-9_]*"), 64
+PART = re.compile(r"[A-Z]?[a-z]{2,15}|[A-Z]{3,16}(?![a-z])")
+#: Parts in the dictionary at most, and identifiers that a part stands in at least.
+PARTS, LEAST_RUNS = 4096, 3
+#: Characters on either side of a candidate, and behind a sensitive word, that are looked at.
+SURROUND, REACH = 2048, 48
+#: The part of a random string's bytes that a secret adds at least.
+LEAST_SHARE = 0.85
+
+
+def identifiers(text: str) -> Iterator[str]:
+    """Runs of a text that look like identifiers of code; longer ones than LONGEST are none."""
+    at = 0
+    while m := CODE_MARK.search(text, at):
+        start = m.start()
+        while start > at and start > m.start() - LONGEST and RUN_CHARS.fullmatch(text[start - 1]):
+            start -= 1
+        at = RUN_CHARS.match(text, m.start()).end()
+        if at - start <= LONGEST:
+            yield text[start:at]
+
+
+def parts_of(run: str) -> Iterator[str]:
+    """The words of an identifier, and neighbouring ones together as they stand in it."""
+    spans = [m.span() for m in PART.finditer(run)]
+    for k, (a, b) in enumerate(spans):
+        if b - a > 2:
+            yield run[a:b]
+        if k:
+            yield run[spans[k - 1][0] : b]
+
+
+def identifier_dictionary(docs: DataFrame, text_col: str = "text", parts: int = PARTS, least_runs: int = LEAST_RUNS) -> bytes:
+    """The parts that stand in the most different identifiers of all texts, the commonest last."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                found = {(p, run) for text in batch.column(0).slice(lo, 512).to_pylist() for run in identifiers(text or "") for p in parts_of(run)}
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["part", "run"])
+
+    runs = docs.select(F.col(text_col).alias("text")).mapInArrow(collect, "part string, run string").distinct()
+    often = runs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_runs)
+    first = often.orderBy(F.desc("n"), "part").limit(parts).collect()
+    return " ".join(r["part"] for r in reversed(first)).encode()
+
+
 class Novelty:
-    """Marginal compressed bytes of a string behind its surroundings, per character."""
+    """Marginal compressed bytes of a string behind its surroundings and the dictionary, per character."""
 
-    def __init__(self, level: int = 3):
+    def __init__(self, dictionary: bytes = b"", level: int = 3):
         import zstandard
 
-        self.zstandard, self.level = zstandard, level
+        self.zstandard, self.level, self.known = zstandard, level, IDENTIFIERS + b" " + dictionary + b" "
+        self.random_share = lru_cache(4096)(self._random_share)
 
-    def share(self, before: str, candidate: str) -> float:
-        context = before.encode()
-        primed = self.zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + context, dict_type=self.zstandard.DICT_TYPE_RAWCONTENT)
+    def share(self, before: str, candidate: str, after: str = "") -> float:
+        before, after = before.replace(candidate, " "), after.replace(candidate, " ")
+        context = before.encode("utf-8", "replace")
+        primed = self.zstandard.ZstdCompressionDict(self.known + after.encode("utf-8", "replace") + b" " + context, dict_type=self.zstandard.DICT_TYPE_RAWCONTENT)
         tool = self.zstandard.ZstdCompressor(level=self.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
         without = len(tool.compress(context[-64:]))
         return (len(tool.compress(context[-64:] + candidate.encode())) - without) / max(1, len(candidate))
 
 
-#: Alphabets by which a run may be written, smallest first, with their sizes; marks between count as further letters.
-ALPHABETS = tuple((re.compile(f"[{a}+/_=-]+"), n) for a, n in (("0-9A-F", 16), ("0-9a-f", 16), ("0-9A-Fa-f", 22), ("A-Z2-7", 32), ("a-z2-7", 32), ("0-9A-Z", 36), ("0-9a-z", 36), ("0-9A-Za-z", 62)))
-MARKS, MEASURED = frozenset("+/_-"), 4096
+    def _random_share(self, letters: str, length: int) -> float:
+        """The share of a random string of these letters behind the dictionary alone."""
+        return self.share("", "".join(random.Random(length).choices(letters, k=length)))
+
+    def is_novel(self, before: str, candidate: str, after: str, least: float) -> bool:
+        """Whether a string adds at least this part of what a random one of its letters and length adds."""
+        return self.share(before, candidate, after) >= least * self.random_share(written_in(candidate), len(candidate))
+
+
+#: Alphabets by which a run may be written, smallest first; marks between count as further letters.
+ALPHABETS = ("0-9A-F", "0-9a-f", "0-9A-Fa-f", "A-Z2-7", "a-z2-7", "0-9A-Z", "0-9a-z", "0-9A-Za-z")
+WRITTEN = tuple((re.compile(f"[{a}+/_=-]+"), "".join(c for c in string.digits + string.ascii_letters if re.match(f"[{a}]", c))) for a in ALPHABETS)
+MARKS, MEASURED = "+/_-", 4096
 
 
-def bar(run: str, least_share: float) -> float:
-    """The bytes per character to reach: ``least_share`` is for 64 letters, smaller alphabets have less to give."""
-    size = next(n for a, n in ALPHABETS if a.fullmatch(run)) + len(MARKS.intersection(run))
-    return least_share * min(1.0, math.log2(size) / 6)
+def written_in(run: str) -> str:
+    """The letters of the smallest alphabet that a run may be written in, and its marks."""
+    return next(letters for a, letters in WRITTEN if a.fullmatch(run)) + "".join(m for m in MARKS if m in run)
 
 
 def value_start(run: str) -> int:
@@ -104,7 +169,7 @@ def covered(base: list[tuple[int, int, int]], a: int, b: int) -> bool:
     return a >= b
 
 
-def find_spans(text: str, novelty: Novelty, reach: int = 48, surround: int = 2048, least_share: float = 0.7) -> list[tuple[int, int, int]]:
+def find_spans(text: str, novelty: Novelty, reach: int = REACH, surround: int = SURROUND, least_share: float = LEAST_SHARE) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span, by start, then kind."""
     spans = []
     lower = text.lower()
@@ -124,7 +189,7 @@ def find_spans(text: str, novelty: Novelty, reach: int = 48, surround: int = 204
             s = text[a:b]
             if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or covered(base, a, b):
                 continue
-            if novelty.share(text[max(0, a - surround) : a], s) >= bar(s, least_share):
+            if novelty.is_novel(text[max(0, a - surround) : a], s, text[b : b + surround], least_share):
                 # the search sees a run's beginning only; the secret is all of it
                 end = CANDIDATE_REST.match(text, a).end()
                 spans.append((a, 3, end))
@@ -150,13 +215,14 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.7) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """Per row: the id, the found spans as array of struct(kind, start, end, value)."""
+    known = identifier_dictionary(docs, text_col)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(known)
         for batch in batches:
             found = []
             for text in batch.column(1).to_pylist():
@@ -169,10 +235,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with every secret in the text replaced by the mark."""
-    at = docs.columns.index(text_col)
+    at, known = docs.columns.index(text_col), identifier_dictionary(docs, text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(known)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for k, text in enumerate(texts):
