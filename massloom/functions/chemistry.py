@@ -60,13 +60,23 @@ def once(value: Column) -> Column:
 
 def count_of(seq: Column, letters: str) -> Column:
     """How many characters of a sequence are among the letters."""
-    return F.length(seq) - F.length(F.translate(seq, letters, ""))
+    rest = F.replace(seq, F.lit(letters), F.lit("")) if len(letters) == 1 else F.translate(seq, letters, "")
+    return F.length(seq) - F.length(rest)
 
 
 def residue_counts(seq: Column) -> dict[str, Column]:
     return {aa: count_of(seq, aa) for aa in RESIDUES}
 
 
+def with_composition(df: DataFrame, seq: str) -> DataFrame:
+    """Adds mass and n_C .. n_S. Residues are counted once, as one array that the optimizer doesn't
+    take apart again (as columns of their own they would multiply the constraints that it infers)."""
+    counted = df.withColumn("_counts", once(F.array(*residue_counts(F.col(seq)).values())))
+    counts = {aa: F.get("_counts", k) for k, aa in enumerate(RESIDUES)}
+    valid = F.col(seq).rlike(VALID)
+    return counted.withColumns({"mass": _mass(valid, counts), **_atoms(valid, counts)}).drop("_counts")
+
+
 def with_peptides(df: DataFrame, seq: str, missed: int = 2, shortest: int = 7, longest: int = 30, out: str = "peptides") -> DataFrame:
     """Adds the array of the distinct tryptic peptides of a sequence.
 
@@ -85,30 +95,38 @@ def with_peptides(df: DataFrame, seq: str, missed: int = 2, shortest: int = 7, l
     return df.withColumn(out, once(F.array_distinct(fits))).drop("_parts")
 
 
-def neutral_mass(seq: Column) -> Column:
-    """Sum of residue masses and water; NULL for a sequence with any other letter."""
+def _mass(valid: Column, counts: dict[str, Column]) -> Column:
     total = F.lit(WATER)
     for aa, row in RESIDUES.items():
-        total = total + count_of(seq, aa) * F.lit(row[0])
-    return F.when(seq.rlike(VALID), total)
-
-
-def mh_mz(mass: Column) -> Column:
-    return mass + F.lit(PROTON)
+        total = total + counts[aa] * F.lit(row[0])
+    return F.when(valid, total)
 
 
-def atom_counts(seq: Column) -> dict[str, Column]:
-    """n_C .. n_S, with the water of the ends; NULL for an invalid sequence."""
+def _atoms(valid: Column, counts: dict[str, Column]) -> dict[str, Column]:
     out = {}
     for k, atom in enumerate(ATOMS):
         total = F.lit({"H": 2, "O": 1}.get(atom, 0))
         for aa, row in RESIDUES.items():
             if row[1 + k]:
-                total = total + count_of(seq, aa) * F.lit(row[1 + k])
-        out[f"n_{atom}"] = F.when(seq.rlike(VALID), total).cast("int")
+                total = total + counts[aa] * F.lit(row[1 + k])
+        out[f"n_{atom}"] = F.when(valid, total).cast("int")
     return out
 
 
+def neutral_mass(seq: Column) -> Column:
+    """Sum of residue masses and water; NULL for a sequence with any other letter."""
+    return _mass(seq.rlike(VALID), residue_counts(seq))
+
+
+def mh_mz(mass: Column) -> Column:
+    return mass + F.lit(PROTON)
+
+
+def atom_counts(seq: Column) -> dict[str, Column]:
+    """n_C .. n_S, with the water of the ends; NULL for an invalid sequence."""
+    return _atoms(seq.rlike(VALID), residue_counts(seq))
+
+
 def ppm_error(feature_mz: Column, mh: Column) -> Column:
     """Relative to the peptide."""
     return (feature_mz - mh) / mh * F.lit(1e6)
@@ -250,12 +268,18 @@ def bare_accession(header: Column) -> Column:
 
 
 def with_shuffled(df: DataFrame, seq: str, seed: Column, out: str) -> DataFrame:
-    """Adds the sequence with K and R in place and the other residues in an order hashed from the seed."""
-    fixed = lambda s: s["c"].isin("K", "R")
+    """Adds the sequence with K and R in place and the other residues in an order hashed from the seed.
+
+    A residue is one whole number, its place (below 2 ** 24) times 256 and its letter, so arrays of
+    plain numbers are sorted: by 32 bits of the hash, then by place. Letters beyond Latin-1 become "?".
+    """
+    fixed = lambda e: (e % 256).isin(ord("K"), ord("R"))
+    code = lambda c: F.when(F.ascii(c) < 256, F.ascii(c)).otherwise(ord("?")).cast("long")
+    hashed = lambda e: F.shiftleft(F.shiftright(F.xxhash64(F.col("_seed"), F.shiftright(e, 8)), 32), 32).bitwiseOR(e)
     df = df.withColumn("_seed", once(seed)).withColumn("_c", once(F.filter(F.split(F.col(seq), ""), lambda c: c != "")))
-    df = df.withColumn("_at", once(F.transform("_c", lambda c, i: F.struct(i.alias("i"), c.alias("c")))))
-    df = df.withColumn("_free", once(F.filter("_at", lambda s: ~fixed(s))))
-    df = df.withColumn("_mixed", once(F.sort_array(F.transform("_free", lambda s: F.struct(F.xxhash64(F.col("_seed"), s["i"]).alias("h"), s["i"].alias("i"), s["c"].alias("c"))))))
-    moved = F.zip_with("_free", "_mixed", lambda to, what: F.struct(to["i"].alias("i"), what["c"].alias("c")))
+    df = df.withColumn("_at", once(F.transform("_c", lambda c, i: i.cast("long") * 256 + code(c))))
+    df = df.withColumn("_free", once(F.filter("_at", lambda e: ~fixed(e))))
+    df = df.withColumn("_mixed", once(F.sort_array(F.transform("_free", hashed))))
+    moved = F.zip_with("_free", "_mixed", lambda to, what: to - to % 256 + what.bitwiseAND(F.lit(255).cast("long")))
     df = df.withColumn("_all", once(F.sort_array(F.concat(moved, F.filter("_at", fixed)))))
-    return df.withColumn(out, once(F.array_join(F.transform("_all", lambda s: s["c"]), ""))).drop("_seed", "_c", "_at", "_free", "_mixed", "_all")
+    return df.withColumn(out, once(F.array_join(F.transform("_all", lambda e: F.chr(e % 256)), ""))).drop("_seed", "_c", "_at", "_free", "_mixed", "_all")

@@ -69,28 +69,31 @@ def fine_bins(peaks: DataFrame, ppm_bin: float = 5.0) -> DataFrame:
 
 
 def merge_bins(bins: DataFrame, n_pixels: int, ppm_bin: float = 5.0, least_share: float = 0.01) -> DataFrame:
-    """(feature_mz, n_pixels, intensity): runs of fine bins, each within ``ppm_bin`` of where it began, that enough pixels hold.
+    """(feature_mz, n_pixels, intensity): groups of fine bins that enough pixels hold.
 
-    Bins are few, bounded by the m/z range; islands without gaps are found first, so each task
-    merges whole islands only.
+    A group opens at the first bin's centroid and takes every bin whose centroid is within
+    ``ppm_bin`` of it, empty bins between or not. Bins are few, bounded by the m/z range; islands,
+    which no group can cross, are found first, so each task merges whole islands only.
     """
-    gap = F.when(F.col("bin") - F.lag("bin").over(W.orderBy("bin")) > 1, 1).otherwise(0)
-    islands = bins.withColumn("island", F.sum(gap).over(W.orderBy("bin")))
+    centroids = bins.where("intensity > 0").withColumn("centre", F.col("moment") / F.col("intensity"))
+    gap = F.col("centre") - F.lag("centre").over(W.orderBy("bin")) > F.lag("centre").over(W.orderBy("bin")) * F.lit(ppm_bin * 1e-6)
+    islands = centroids.withColumn("island", F.sum(F.when(gap, 1).otherwise(0)).over(W.orderBy("bin")))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, at, start = [], None, 0
-        for island, b, n, s, m in zip(*(pdf.sort_values("bin")[c] for c in ("island", "bin", "n_pixels", "intensity", "moment")), strict=True):
-            if island != at or b - start >= 4:
-                at, start = island, b
+        out, anchor = [], None
+        pdf = pdf.sort_values("bin")
+        for centre, n, s, m in zip(*(pdf[c] for c in ("centre", "n_pixels", "intensity", "moment")), strict=True):
+            if anchor is None or centre - anchor > anchor * ppm_bin * 1e-6:
+                anchor = centre
                 out.append([0, 0.0, 0.0])
             out[-1][0] += n
             out[-1][1] += s
             out[-1][2] += m
-        return pd.DataFrame([(m / s if s else float("nan"), n, s) for n, s, m in out], columns=["feature_mz", "n_pixels", "intensity"])
+        return pd.DataFrame([(m / s, n, s) for n, s, m in out], columns=["feature_mz", "n_pixels", "intensity"])
 
     # many small islands share a call
     merged = islands.withColumn("part", F.floor(F.col("island") / 1000)).groupBy("part").applyInPandas(merge, "feature_mz double, n_pixels long, intensity double")
-    return merged.where((F.col("n_pixels") >= least_share * n_pixels) & ~F.isnan("feature_mz"))
+    return merged.where(F.col("n_pixels") >= least_share * n_pixels)
 
 
 def mean_spectrum(peaks: DataFrame, n_pixels: int, step: float = 0.001) -> DataFrame:

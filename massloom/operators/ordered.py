@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from massloom.operators.storage import settled
+
 
 def with_group_ranks(df: DataFrame, group: str, value: str, descending: bool = False, rank: str = "rank", ratio: str = "best_ratio", floor: float = 1e-6) -> DataFrame:
     """Rank with gaps within the group, and the group's best value over this one (or the reverse for descending)."""
@@ -47,6 +49,15 @@ def _with_range(df: DataFrame, score: str, ranges: int) -> DataFrame:
     return df.withColumn("_g", g)
 
 
+def numbered(df: DataFrame, value: str, out: str, ranges: int = 32) -> DataFrame:
+    """Adds the place of each row, from 0, in ascending order of a distinct value, without a window over all rows."""
+    rows = _with_range(settled(df).withColumn("_v", -F.col(value)), "_v", ranges)
+    sums = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    sums = sums.select("_g", F.coalesce(F.sum("n").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_pn"))
+    place = F.row_number().over(W.partitionBy("_g").orderBy(value)) - 1 + F.col("_pn")
+    return rows.join(F.broadcast(sums), "_g").withColumn(out, place.cast("int")).drop("_v", "_g", "_pn")
+
+
 def tdc_q_values(df: DataFrame, score: str, decoy: Column, ties: list[str], pi0: float = 1.0, out: str = "q_value", ranges: int = 32) -> DataFrame:
     """Target-decoy q-values: (decoys so far + 1) / max(targets so far, 1) * pi0, made monotone from the end, within 0 and 1."""
     rows = _with_range(df.withColumn("_d", decoy.cast("long")), score, ranges)

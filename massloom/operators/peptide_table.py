@@ -19,8 +19,8 @@ DECOY = "DECOY_"
 
 def with_masses(df: DataFrame, seq: str = "peptide") -> DataFrame:
     """Adds mass, mh_mz and n_C .. n_S; rows with an invalid sequence go."""
-    s = F.col(seq)
-    return df.where(s.rlike(C.VALID)).withColumn("mass", C.neutral_mass(s)).withColumn("mh_mz", C.mh_mz(F.col("mass"))).withColumns(C.atom_counts(s))
+    found = C.with_composition(df.where(F.col(seq).rlike(C.VALID)), seq)
+    return found.withColumn("mh_mz", C.mh_mz(F.col("mass")))
 
 
 def digest(proteins: DataFrame, missed: int = 2, shortest: int = 7, longest: int = 30) -> DataFrame:
@@ -29,8 +29,9 @@ def digest(proteins: DataFrame, missed: int = 2, shortest: int = 7, longest: int
 
 
 def shuffled_proteins(proteins: DataFrame, accession: Column, seed: Column) -> DataFrame:
-    """(accession, sequence) with the sequences shuffled by the seed."""
-    return C.with_shuffled(proteins, "sequence", seed, "_mixed_sequence").select(accession.alias("accession"), F.col("_mixed_sequence").alias("sequence"))
+    """(accession, sequence) with the sequences shuffled by the seed. It is costly by letter, so
+    proteins are dealt out first: files with few row groups would leave it to few tasks."""
+    return C.with_shuffled(proteins.repartition("accession"), "sequence", seed, "_mixed_sequence").select(accession.alias("accession"), F.col("_mixed_sequence").alias("sequence"))
 
 
 def first_protein(peptides: DataFrame, keep: list[str]) -> DataFrame:

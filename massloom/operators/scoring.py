@@ -6,7 +6,6 @@ happen on the driver. Tree models and k-means are Spark ML's.
 
 from __future__ import annotations
 
-import tempfile
 import warnings
 from dataclasses import dataclass
 
@@ -17,15 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.operators.ordered import folds, tdc_q_values, winners
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names (a temporary one only where none is
-    set): iterations would otherwise plan all that came before them again."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="massloom-"))
-    return df.checkpoint(eager=True)
+from massloom.operators.storage import settled
 
 
 def standardised(df: DataFrame, features: list[str]) -> DataFrame:
@@ -43,22 +34,54 @@ def with_interactions(df: DataFrame, features: list[str], top: list[str]) -> tup
     return df.withColumns({f"{a}__x__{b}": F.col(a) * F.col(b) for a, b in pairs}), [*features, *(f"{a}__x__{b}" for a, b in pairs)]
 
 
-def moments(df: DataFrame, p: int, x: str = "x") -> tuple[int, np.ndarray, np.ndarray]:
-    """n, sums and sums of products of an array column, from one pass of partial aggregates."""
+@dataclass
+class Moments:
+    """Of an array column x: number, sums, sums of products, of x times its squared norm, of the squared squared norm."""
+
+    n: int
+    s: np.ndarray
+    q: np.ndarray
+    v: np.ndarray
+    r: float
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.s + other.s, self.q + other.q, self.v + other.v, self.r + other.r)
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.s / max(self.n, 1)
+
+    @property
+    def cov(self) -> np.ndarray:
+        return self.q / max(self.n, 1) - np.outer(self.mean, self.mean)
+
+    @property
+    def fourth(self) -> float:
+        """Mean of the squared squared norm of x less the mean; what Ledoit-Wolf shrinkage needs besides the covariance."""
+        m, n = self.mean, max(self.n, 1)
+        mm, q = float(m @ m), self.q / n
+        return float(self.r / n + 4 * m @ q @ m + mm * mm - 4 * m @ self.v / n + 2 * mm * np.trace(q) - 4 * mm * mm)
+
+
+def moments_by(df: DataFrame, keys: list[str], p: int, x: str = "x") -> dict[tuple, Moments]:
+    """Moments per value of the keys, which are few, from one pass of partial aggregates."""
     cells = [(i, j) for i in range(p) for j in range(i + 1)]
     at = lambda i: F.get(F.col(x), i)
-    row = df.agg(F.count(F.lit(1)).alias("n"), *(F.sum(at(i)).alias(f"s{i}") for i in range(p)), *(F.sum(at(i) * at(j)).alias(f"q{i}_{j}") for i, j in cells)).first()
-    s = np.array([row[f"s{i}"] or 0.0 for i in range(p)])
-    q = np.zeros((p, p))
-    for i, j in cells:
-        q[i, j] = q[j, i] = row[f"q{i}_{j}"] or 0.0
-    return row["n"], s, q
+    rows = df.withColumn("_norm", F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b))
+    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(at(i)).alias(f"s{i}") for i in range(p)), *(F.sum(at(i) * at(j)).alias(f"q{i}_{j}") for i, j in cells)]
+    sums += [*(F.sum(at(i) * F.col("_norm")).alias(f"v{i}") for i in range(p)), F.sum(F.col("_norm") * F.col("_norm")).alias("r")]
+    out = {}
+    for row in rows.groupBy(*keys).agg(*sums).collect():
+        q = np.zeros((p, p))
+        for i, j in cells:
+            q[i, j] = q[j, i] = row[f"q{i}_{j}"] or 0.0
+        vector = lambda name: np.array([row[f"{name}{i}"] or 0.0 for i in range(p)])  # noqa: B023, E731
+        out[tuple(row[k] for k in keys)] = Moments(row["n"], vector("s"), q, vector("v"), row["r"] or 0.0)
+    return out
 
 
-def fourth_moment(df: DataFrame, mean: np.ndarray, x: str = "x") -> float:
-    """Mean of the squared squared norm of x less the mean; what Ledoit-Wolf shrinkage needs besides the covariance."""
-    norm = F.aggregate(F.zip_with(F.col(x), F.array(*(F.lit(float(m)) for m in mean)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return df.agg(F.avg(norm * norm)).first()[0] or 0.0
+def summed(parts: list[Moments], p: int) -> Moments:
+    return sum(parts, Moments(0, np.zeros(p), np.zeros((p, p)), np.zeros(p), 0.0))
 
 
 def ledoit_wolf(n: int, cov: np.ndarray, fourth: float) -> np.ndarray:
@@ -105,34 +128,46 @@ class Quadratic:
         return F.lit(float(self.bias)) + F.lit(0.5) * (distance(0) - distance(1))
 
 
-def fit_lda(train: DataFrame, p: int) -> Linear:
-    """Equal priors, pooled within-class covariance with Ledoit-Wolf shrinkage. ``train`` has x and label (1 or -1)."""
-    parts = [(moments(part := train.where(F.col("label") == k), p), part) for k in (-1, 1)]
-    means = [s / max(n, 1) for (n, s, _), _ in parts]
-    total = sum(n for (n, _, _), _ in parts)
+def lda(classes: dict[int, Moments]) -> Linear:
+    """Equal priors, pooled within-class covariance with Ledoit-Wolf shrinkage; classes 1 and -1."""
+    if not sum(m.n for m in classes.values()):
+        raise ValueError("no labelled rows to learn from")
+    means = [classes[k].mean for k in (-1, 1)]
+    p = len(means[0])
     cov = np.zeros((p, p))
-    for ((n, s, q), part), m in zip(parts, means, strict=True):
-        if n:
-            own = q / n - np.outer(m, m)
-            cov += 0.5 * ledoit_wolf(n, own, fourth_moment(part, m))
-    assert total
+    for own in classes.values():
+        if own.n:
+            cov += 0.5 * ledoit_wolf(own.n, own.cov, own.fourth)
     w = np.linalg.solve(cov + 1e-9 * np.eye(p), means[1] - means[0])
     return Linear(w, float(-0.5 * w @ (means[0] + means[1])))
 
 
-def fit_qda(train: DataFrame, p: int, reg: float = 0.5) -> Quadratic:
+def qda(classes: dict[int, Moments], reg: float = 0.5) -> Quadratic:
     """Covariances mixed with the identity by ``reg``; equal priors."""
     means, inverses, logdet = [], [], []
     for k in (-1, 1):
-        n, s, q = moments(train.where(F.col("label") == k), p)
-        m = s / max(n, 1)
-        cov = (1 - reg) * (q / max(n, 1) - np.outer(m, m)) * n / max(n - 1, 1) + reg * np.eye(p)
-        means.append(m)
+        own = classes[k]
+        cov = (1 - reg) * own.cov * own.n / max(own.n - 1, 1) + reg * np.eye(len(own.s))
+        means.append(own.mean)
         inverses.append(np.linalg.inv(cov))
         logdet.append(np.linalg.slogdet(cov)[1])
     return Quadratic((means[0], means[1]), (inverses[0], inverses[1]), 0.5 * (logdet[0] - logdet[1]))
 
 
+def class_moments(train: DataFrame, p: int) -> dict[int, Moments]:
+    found = moments_by(train, ["label"], p)
+    return {k: summed([m for (label,), m in found.items() if label == k], p) for k in (-1, 1)}
+
+
+def fit_lda(train: DataFrame, p: int) -> Linear:
+    """``train`` has x and label (1 or -1)."""
+    return lda(class_moments(train, p))
+
+
+def fit_qda(train: DataFrame, p: int) -> Quadratic:
+    return qda(class_moments(train, p))
+
+
 def violating(rows: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """n, sums of products and sums with the label of the rows (x, y) inside the margin; x is followed by a one.
 
@@ -212,14 +247,24 @@ def fit_and_score(train: DataFrame, test: DataFrame, p: int, model: str = "lda",
 
 
 def out_of_fold(df: DataFrame, p: int, model: str, key: list[str], k: int = 3, **options) -> DataFrame:
-    """Each fold scored by a model of the other folds' labelled rows; rows of label 0 are scored, not learned."""
+    """Each fold scored by a model of the other folds' labelled rows; rows of label 0 are scored, not learned.
+
+    Discriminants of all folds come from one pass: a fold's model has the sums of the others.
+    """
     parted = folds(df, ["is_decoy"], key, k).cache()
+    found = moments_by(parted.where("label != 0"), ["fold", "label"], p) if model in ("lda", "qda") else {}
     out = None
     for fold in range(k):
-        train = parted.where((F.col("fold") != fold) & (F.col("label") != 0))
-        scored = fit_and_score(train, parted.where(F.col("fold") == fold), p, model, **options)
+        test = parted.where(F.col("fold") == fold)
+        if found:
+            others = {c: summed([m for (f, label), m in found.items() if f != fold and label == c], p) for c in (-1, 1)}
+            scored = test.withColumn("score", {"lda": lda, "qda": qda}[model](others).score())
+        else:
+            scored = fit_and_score(parted.where((F.col("fold") != fold) & (F.col("label") != 0)), test, p, model, **options)
         out = scored if out is None else out.unionByName(scored)
-    return out.drop("fold")
+    out = settled(out.drop("fold"))
+    parted.unpersist()
+    return out
 
 
 def labelled(df: DataFrame, positive: Column) -> DataFrame:
@@ -231,17 +276,17 @@ def seed_sweep(df: DataFrame, features: list[str], key: list[str], fdr: float, s
     """(feature, direction, n): for each feature, both ways, the targets at the FDR if it alone were the score."""
     wide = [f for f in features if f not in skip]
     stack = ", ".join(f"'{f}', cast(`{f}` as double)" for f in wide)
-    rows = df.select(*key, "is_decoy", F.expr(f"stack({len(wide)}, {stack}) as (feature, value)")).where("value is not null and not isnan(value)")
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key))))
+    rows = hashed.select(*key, "is_decoy", "_h", F.expr(f"stack({len(wide)}, {stack}) as (feature, value)")).where("value is not null and not isnan(value)")
     rows = rows.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("s", F.col("value") * F.col("direction"))
     from pyspark.sql import Window as W
 
-    rows = rows.withColumn("_h", F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key))))
     of = W.partitionBy("feature", "direction")
     run = of.orderBy(F.desc("s"), "_h", *key).rowsBetween(W.unboundedPreceding, 0)
-    back = of.orderBy(F.asc("s"), F.desc("_h"), *(F.desc(k) for k in key)).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_d", F.sum(F.col("is_decoy").cast("long")).over(run)).withColumn("_n", F.count(F.lit(1)).over(run))
-    rows = rows.withColumn("_f", (F.col("_d") + 1) / F.greatest(F.col("_n") - F.col("_d"), F.lit(1))).withColumn("q", F.min("_f").over(back))
-    return rows.groupBy("feature", "direction").agg(F.count_if(~F.col("is_decoy") & (F.col("q") <= fdr)).alias("n"))
+    # a row passes if it or a later one is within the FDR: so all targets up to the last such row do
+    within = (F.col("_d") + 1) / F.greatest(F.col("_n") - F.col("_d"), F.lit(1)) <= fdr
+    return rows.groupBy("feature", "direction").agg(F.coalesce(F.max(F.when(within, F.col("_n") - F.col("_d"))), F.lit(0)).alias("n"))
 
 
 def best_seed(df: DataFrame, features: list[str], key: list[str], fdr: float, skip: tuple[str, ...] = ()) -> tuple[str, int, int]:
@@ -288,7 +333,7 @@ def semi_supervised(df: DataFrame, features: list[str], key: list[str], model: s
         scored = table.withColumn("score", start)
     before = None
     for _ in range(max_iter):
-        ranked = tdc_q_values(scored, "score", F.col("is_decoy"), key, out="_q")
+        ranked = settled(tdc_q_values(scored, "score", F.col("is_decoy"), key, out="_q"))
         fdr = init_fdr if before is None else train_fdr
         pool = labelled(ranked, F.col("_q") <= fdr)
         n = pool.where("label = 1").count()
@@ -300,7 +345,9 @@ def semi_supervised(df: DataFrame, features: list[str], key: list[str], model: s
             break
         before = n
         pool = pool.drop("score", "_q")
-        scored = settled(out_of_fold(pool, len(features), model, key, **options).drop("label"))
+        scored = out_of_fold(pool, len(features), model, key, **options).drop("label")
+    scored = settled(scored) if before is None else scored
+    table.unpersist()
     return scored.drop("x")
 
 

@@ -231,13 +231,20 @@ def read_percolator(spark: SparkSession, peptides: str, psms: str | None = None,
     return out.withColumns({"rt_mean": F.coalesce("rt_mean", "_rt"), "lcms_intensity": F.coalesce("lcms_intensity", "_i"), "charge": F.coalesce("charge", "_z"), "n_psms": F.coalesce("_n", "n_psms")}).drop("_rt", "_i", "_z", "_n")
 
 
-#: SQL of peptide tables in MSF files: a bound FDR, two left joins.
-MSF_PEPTIDES = """SELECT p.Sequence AS sequence, p.Sequence AS peptidoform, pr.ParentProteinAccessions AS protein, s.PercolatorqValue AS q_value, s.PercolatorPEP AS pep, s.Score AS score, s.Charge AS charge, s.RetentionTime AS rt
-FROM TargetPeptideGroups p LEFT JOIN TargetPsms s ON s.PeptideGroupID = p.PeptideGroupID LEFT JOIN TargetProteins pr ON pr.PeptideGroupID = p.PeptideGroupID WHERE s.PercolatorqValue <= {fdr}"""
+#: SQL of identifications in MSF files: a bound FDR, two left joins from spectra to proteins.
+MSF_PEPTIDES = """
+SELECT psm.Sequence AS sequence, psm.Sequence AS peptidoform, prot.Accession AS protein,
+       psm.PercolatorqValue AS q_value, NULL AS pep, psm.PercolatorSVMScore AS score,
+       psm.Charge AS charge, psm.RetentionTime AS rt
+FROM TargetPsms psm
+LEFT JOIN TargetProteinsTargetPsms link ON link.TargetPsmsPeptideID = psm.PeptideID
+LEFT JOIN TargetProteins prot ON prot.UniqueSequenceID = link.TargetProteinsUniqueSequenceID
+WHERE psm.PercolatorqValue <= {fdr} AND psm.Sequence IS NOT NULL"""
 
 
 def read_msf(spark: SparkSession, path: str, fdr: float = 0.01, sql: str = MSF_PEPTIDES) -> DataFrame:
-    return read_sqlite(spark, path, sql.format(fdr=float(fdr)), "sequence string, peptidoform string, protein string, q_value double, pep double, score double, charge int, rt double")
+    schema = "sequence string, peptidoform string, protein string, q_value double, pep double, score double, charge int, rt double"
+    return read_sqlite(spark, path, sql.format(fdr=float(fdr)), schema)
 
 
 def read_rt_pairs(spark: SparkSession, path: str, fdr: float = 0.01) -> DataFrame:

@@ -268,3 +268,30 @@ def test_kde_pep_falls_with_the_score(spark):
 def test_negative_and_null_ppm_are_safe(spark):
     row = spark.range(1).select(C.spectral_angle(F.lit(1.0000001)).alias("a"), C.gravy(F.lit("")).alias("g"), C.missed_cleavages(F.lit("AKPRAK")).alias("m")).first()
     assert math.isclose(row["a"], 1.0) and row["g"] == 0 and row["m"] == 1
+
+
+def test_feature_groups_reach_over_empty_fine_bins(spark):
+    rows = [(p, 1000.0, 1.0) for p in range(5)] + [(p, 1000.0 * (1 + 2.5e-6), 1.0) for p in range(5, 10)] + [(p, 1000.0 * (1 + 9e-6), 1.0) for p in range(3)]
+    peaks = spark.createDataFrame(rows, "pixel int, mz double, intensity double")
+    found = extraction.merge_bins(extraction.fine_bins(peaks, 5.0), 10, 5.0, 0.6).collect()
+    assert [(r["n_pixels"], r["intensity"]) for r in found] == [(10, 10.0)]
+    assert abs(found[0]["feature_mz"] - 1000.0 * (1 + 1.25e-6)) < 1e-9
+
+
+def test_evidence_counts_scans_within_the_time_window_only(spark):
+    peaks = "array<struct<mz:double,intensity:double>>"
+    mz = 800.4
+    cand = spark.createDataFrame([(1, "PEPTIDEK", mz - C.PROTON, mz)], "row_id long, peptide string, mass double, mh_mz double")
+    ms1 = spark.createDataFrame([(1, 10.0, [(mz, 5.0)]), (2, 30.0, [(mz, 50.0)])], f"scan_id long, rt double, peaks {peaks}")
+    ions = [(200.0 + k, 10.0) for k in range(8)]
+    ms2 = spark.createDataFrame([(11, 10.2, mz, 1, ions), (12, 10.1, mz, 1, ions[:7] + [(300.0, 3.0)]), (13, 30.0, mz, 1, ions)], f"scan_id long, rt double, precursor_mz double, charge int, peaks {peaks}")
+    spectra = spark.createDataFrame([("PEPTIDEK", ions)], f"peptide string, predicted {peaks}")
+    rts = spark.createDataFrame([("PEPTIDEK", 10.0)], "peptide string, rt_pred double")
+    theory = spark.createDataFrame([(1, 1.0, 0.5, 0.2)], "row_id long, t0 double, t1 double, t2 double")
+    row = lcms.evidence(cand, ms1, ms2, spectra, rts, theory, rt_window=1.0).first()
+    assert row["lcms_ms2_n_matches"] == 2
+    # the delta is that of the scan with the best angle, not the least one
+    assert abs(row["lcms_ms2_rt_delta"] - 0.2) < 1e-9
+    assert row["lcms_ms1_n_scans_with_signal"] == 1 and abs(row["lcms_ms1_intensity"] - math.log1p(5.0)) < 1e-9
+    none = lcms.evidence(cand, ms1, ms2, spectra, rts, theory, rt_window=0.0).first()
+    assert none["lcms_ms1_intensity"] is None and none["lcms_ms2_n_matches"] == 3

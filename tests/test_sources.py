@@ -82,14 +82,37 @@ def test_mzidentml(spark, tmp_path):
     assert [(r["sequence"], r["protein"], r["q_value"], r["charge"]) for r in got] == [("PEPK", "P1", 0.002, 2)]
 
 
+def test_msf_reader(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "x.msf")
+    db = sqlite3.connect(path)
+    db.executescript("""
+        CREATE TABLE TargetPsms (PeptideID INTEGER, Sequence TEXT, PercolatorqValue REAL, PercolatorSVMScore REAL, Charge INTEGER, RetentionTime REAL);
+        CREATE TABLE TargetProteinsTargetPsms (TargetProteinsUniqueSequenceID INTEGER, TargetPsmsPeptideID INTEGER);
+        CREATE TABLE TargetProteins (UniqueSequenceID INTEGER, Accession TEXT);
+        INSERT INTO TargetPsms VALUES (1, 'PEPK', 0.001, 2.5, 2, 10.5), (2, 'LATEK', 0.5, 0.1, 2, 11.0), (3, 'LONEK', 0.01, 1.0, 3, 12.0), (4, NULL, 0.001, 1.0, 3, 12.0);
+        INSERT INTO TargetProteinsTargetPsms VALUES (7, 1), (8, 1);
+        INSERT INTO TargetProteins VALUES (7, 'P7'), (8, 'P8');""")
+    db.commit()
+    db.close()
+    got = sorted((r["sequence"], r["protein"], r["q_value"], r["score"], r["charge"], r["rt"]) for r in readers.read_msf(spark, path).fillna("-").collect())
+    assert got == [("LONEK", "-", 0.01, 1.0, 3, 12.0), ("PEPK", "P7", 0.001, 2.5, 2, 10.5), ("PEPK", "P8", 0.001, 2.5, 2, 10.5)]
+    assert sorted(map(tuple, readers.read_rt_pairs(spark, path).collect())) == [("LONEK", 12.0), ("PEPK", 10.5)]
+
+
 def test_settings(tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"ms": {"svm-c": 2.0, "single-round": True}, "model": "qda"}))
     c = config.load(str(path), single_round=False, ppm_tolerance=None)
     assert (c.svm_c, c.model, c.single_round, c.ppm_tolerance) == (2.0, "qda", False, 20.0)
-    for bad in ({"model": "x"}, {"nope": 1}, {"use_spatial_ranker_features": True}):
-        with pytest.raises(ValueError):
-            config.load(**bad)
+    with pytest.raises(ValueError):
+        config.load(model="x")
+    # a settings file written for more than is here loads, and what would mislead is switched off
+    with pytest.warns(RuntimeWarning, match="nope"):
+        assert config.load(nope=1) == config.Config()
+    with pytest.warns(RuntimeWarning, match="switched off"):
+        assert not config.load(use_spatial_ranker_features=True).use_spatial_ranker_features
     assert config.resolve_features(["a", "b", "im2deep_ccs_rank"], config.load(decoy_method="mz_shuffle", features_exclude=["b"])) == ["a"]
 
 
