@@ -20,9 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share, as the session names it; one of our own only where none is set."""
+    """The folder that all nodes share, as the session names it. Where none is set, a temporary one
+    serves a single machine only; on a cluster that is an error, since no executor would see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="massloom-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
