@@ -185,11 +185,11 @@ def shuffled_entrapment(evidence: DataFrame, ppm: float = 20.0, missed: int = 2,
 
     ``evidence``: protein, sequence.
     """
-    joined = evidence.groupBy("protein").agg(F.array_join(F.array_sort(F.collect_set("sequence")), "").alias("sequence"))
+    joined = evidence.groupBy(F.col("protein").alias("accession")).agg(F.array_join(F.array_sort(F.collect_set("sequence")), "").alias("sequence"))
     known = with_masses(evidence.select(F.col("sequence").alias("peptide")).distinct())
     out = None
     for tag, prefix, decoy in (("a", "ENTRAPMENT_", False), ("b", "ENTRAPMENT_DECOY_", True)):
-        fake = shuffled_proteins(joined, F.concat(F.lit(prefix), "protein"), F.concat(F.lit(seed + tag), F.col("protein")))
+        fake = shuffled_proteins(joined, F.concat(F.lit(prefix), "accession"), F.concat(F.lit(seed + tag), F.col("accession")))
         table = first_protein(digest(fake, missed, shortest, longest), ["peptide"]).withColumn("is_decoy", F.lit(decoy))
         out = table if out is None else out.unionByName(table.join(out.select("peptide"), "peptide", "left_anti"))
     out = with_masses(out.join(known.select("peptide"), "peptide", "left_anti"))

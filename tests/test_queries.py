@@ -1,6 +1,7 @@
 """Every query runs on the smallest tables; those with SQL equal DuckDB's rows."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def duck():
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return ""
-    return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return repr(float(v)) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
