@@ -21,9 +21,10 @@ def duck():
 
 
 def plain(v):
+    # numbers by value: decimals as doubles, zero without a sign
     if v is None or isinstance(v, float) and math.isnan(v):
         return ""
-    return repr(float(v)) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
+    return repr(float(v) + 0.0) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
