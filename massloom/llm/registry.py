@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from massloom.llm.op10_token_counts import op10_token_counts
+from massloom.llm.op12_fill_in_middle import ORACLE_SQL as FILL_IN_MIDDLE_SQL
+from massloom.llm.op12_fill_in_middle import op12_fill_in_middle
 from massloom.llm.op1_packing import op1_packing
 from massloom.llm.op2_kmeans_tree import op2_kmeans_tree
 from massloom.llm.op3_quality_rules import op3_quality_rules
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
-ORACLES = {"op8_mixing": MIXING_SQL}
+ORACLES = {"op8_mixing": MIXING_SQL, "op12_fill_in_middle": FILL_IN_MIDDLE_SQL}
