@@ -246,11 +246,20 @@ def mass_to_mz(mass: Column, charge: Column) -> Column:
     return (mass + charge * F.lit(PROTON)) / charge
 
 
-def inv_k0_to_ccs(inv_k0: Column, mz: Column, charge: Column) -> Column:
-    """Mason-Schamp in nitrogen at 31.85 degrees Celsius."""
+def _ccs_per_inv_k0(mz: Column, charge: Column) -> Column:
     ion = mz * charge
     gas = F.lit(28.013)
-    return F.lit(18509.8632163405) * charge * inv_k0 / F.sqrt((ion * gas) / (ion + gas) * F.lit(31.85 + 273.15))
+    return F.lit(18509.8632163405) * charge / F.sqrt((ion * gas) / (ion + gas) * F.lit(31.85 + 273.15))
+
+
+def inv_k0_to_ccs(inv_k0: Column, mz: Column, charge: Column) -> Column:
+    """Mason-Schamp in nitrogen at 31.85 degrees Celsius."""
+    return inv_k0 * _ccs_per_inv_k0(mz, charge)
+
+
+def ccs_to_inv_k0(ccs: Column, mz: Column, charge: Column) -> Column:
+    """The reduced inverse mobility of a collision cross section, under the same conditions."""
+    return ccs / _ccs_per_inv_k0(mz, charge)
 
 
 def bare_sequence(text: Column) -> Column:

@@ -6,6 +6,8 @@ and the ranges' totals, few rows, shift them. So no window puts all rows into on
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,6 +112,40 @@ def gaussian_pep(df: DataFrame, score: str, decoy: Column, out: str = "pep") ->
     return df.crossJoin(F.broadcast(stats)).withColumn(out, pep).drop("_m0", "_s0", "_m1", "_s1", "_pi", "_n0", "_n1")
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], bins: int = 4096, few: int = 4096) -> list[float | None]:
+    """Exact quantiles of a column, interpolated between neighbours, NULL and NaN left out; None for no values.
+
+    Each pass counts the values in so many equal bins of the range that holds the wanted place, until a
+    range has few values or one: no task sorts or keeps all of them. ``df`` is read once per pass.
+    """
+    v = F.col(value).cast("double")
+    df = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    whole = df.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole["n"]:
+        return [None] * len(shares)
+    found: dict[int, float] = {}
+
+    def search(rows: DataFrame, lo: float, hi: float, n: int, before: int, places: list[int]) -> None:
+        if lo == hi or not places:
+            found.update({k: lo for k in places})
+        elif n <= few:
+            held = sorted(r["v"] for r in rows.collect())
+            found.update({k: held[k - before] for k in places})
+        else:
+            # halves first: a range of doubles may be wider than any double
+            bin_ = F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1)).cast("int")
+            counts = rows.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            for r in sorted(counts, key=lambda r: r["b"]):
+                here = [k for k in places if before <= k < before + r["n"]]
+                if here:
+                    search(rows.where(bin_ == r["b"]), r["lo"], r["hi"], r["n"], before, here)
+                before += r["n"]
+
+    at = [q * (whole["n"] - 1) for q in shares]
+    search(df, whole["lo"], whole["hi"], whole["n"], 0, sorted({k for a in at for k in (math.floor(a), math.ceil(a))}))
+    return [found[math.floor(a)] + (found[math.ceil(a)] - found[math.floor(a)]) * (a - math.floor(a)) if math.floor(a) != math.ceil(a) else found[math.floor(a)] for a in at]
+
+
 def stratified_sample(df: DataFrame, strata: list[str], key: list[str], need: Column, seed: str = "42") -> DataFrame:
     """At most ``need`` rows of each stratum, in the order of a seeded md5 of the key; no filling across strata."""
     order = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") for k in key)))

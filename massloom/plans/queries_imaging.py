@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massloom.operators import extraction, imaging, lcms, ranges, report
+from massloom.functions import chemistry as C
+from massloom.operators import extraction, imaging, lcms, mobility, ranges, report
 from massloom.plans.registry import query, table
 
 IMG = "i AS (SELECT vec_id AS feature_id, label, pos // 8 AS y, pos % 8 AS x, v FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS pos FROM embeddings) WHERE v > 0)"
@@ -317,6 +318,62 @@ def a30_a32_mobility_images(s, d):
     return imaging.spatial_stats(i.withColumn("y", F.col("y") - 1), 7 * 50, 7, 50)
 
 
+def _mobile(s, d) -> DataFrame:
+    """Orders as candidates: four order keys make a feature, at their least price."""
+    o = table(s, d, "orders").withColumn("feature_idx", F.floor(F.col("o_orderkey") / 4))
+    f = o.groupBy("feature_idx").agg(F.min("o_totalprice").alias("feature_mz"))
+    ccs = F.when(F.col("o_orderkey") % 13 != 0, 5.03 + F.col("o_orderkey") % 11)
+    seen = F.when(F.col("o_custkey") % 3 == 0, ccs + (F.col("o_custkey") % 17 - 8) / 10)
+    return o.join(f, "feature_idx").select(F.col("o_orderkey").alias("row_id"), "feature_idx", "feature_mz", (F.col("o_custkey") % 499).alias("protein"), ccs.alias("ccs_predicted"), seen.alias("ccs_observed"), (F.col("o_orderstatus") == "F").alias("is_calibration_peptide"))
+
+
+MOBILE = f"""{PEAKS}, c0 AS (SELECT o_orderkey AS row_id, o_orderkey // 4 AS feature_idx, min(o_totalprice) OVER (PARTITION BY o_orderkey // 4) AS feature_mz, o_custkey % 499 AS protein, o_orderstatus = 'F' AS cal,
+CASE WHEN o_orderkey % 13 <> 0 THEN 5.03 + o_orderkey % 11 END AS ccs, CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 17 - 8) / 10 END AS d FROM orders),
+c AS (SELECT *, ccs * sqrt(feature_mz * 28.013 / (feature_mz + 28.013) * 305.0) / 18509.8632163405 AS k0, (ccs + d) * sqrt(feature_mz * 28.013 / (feature_mz + 28.013) * 305.0) / 18509.8632163405 AS seen FROM c0),
+h AS (SELECT CASE WHEN count(abs(k0 - seen)) < 10 THEN 0.05 ELSE 2 * quantile_cont(abs(k0 - seen), 0.95) END AS half FROM c WHERE cal),
+ch(ch, shift) AS (VALUES (0, 0.0), (1, 1.003355), (2, 2.00671), (3, {C.ADDUCTS["na"]}), (4, {C.ADDUCTS["k"]}), (5, {C.ADDUCTS["chca"]})),
+w AS (SELECT DISTINCT feature_idx, ch, CAST(feature_mz AS DOUBLE) + CAST(shift AS DOUBLE) AS q FROM c, ch),
+hit AS (SELECT feature_idx, ch, y, x, inv_k0, CAST(intensity AS DOUBLE) AS v FROM w JOIN pk ON mz >= q * (1 - 26e-6) AND mz <= q * (1 + 26e-6) WHERE abs(mz - q) <= q * 25.0 / 1e6),
+g AS (SELECT row_id, y, x, sum(CASE WHEN ch = 0 THEN v ELSE 0 END) AS m0, sum(CASE WHEN ch = 1 THEN v ELSE 0 END) AS m1, sum(CASE WHEN ch = 2 THEN v ELSE 0 END) AS m2,
+sum(CASE WHEN ch = 3 THEN v ELSE 0 END) AS na, sum(CASE WHEN ch = 4 THEN v ELSE 0 END) AS k, sum(CASE WHEN ch = 5 THEN v ELSE 0 END) AS chca
+FROM hit JOIN c USING (feature_idx), h WHERE inv_k0 >= k0 - half AND inv_k0 <= k0 + half GROUP BY row_id, y, x)"""
+
+
+def _r(other: str) -> str:
+    va, vb = "(350 * sum(m0 * m0) - sum(m0) * sum(m0))", f"(350 * sum({other} * {other}) - sum({other}) * sum({other}))"
+    return f"CASE WHEN {va} > 1e-20 AND {vb} > 1e-20 THEN (350 * sum(m0 * {other}) - sum(m0) * sum({other})) / (sqrt({va}) * sqrt({vb})) END"
+
+
+_MED = ", ".join(f"round(coalesce(t.{c}, (SELECT quantile_cont({c}, 0.5) FROM t), 0), 6) AS {c}" for c in mobility.MOBILITY_FEATURES)
+
+
+@query(f"""WITH {MOBILE}, f AS (SELECT row_id, {_r("m1")} AS r1, {_r("m2")} AS r2, {_r("na")} AS rna, {_r("k")} AS rk, {_r("chca")} AS rchca, count(*) FILTER (WHERE m0 > 0) AS lit,
+stddev_pop(m0) FILTER (WHERE m0 > 0) AS sd, avg(m0) FILTER (WHERE m0 > 0) AS mean, sum(m0) AS s FROM g GROUP BY row_id),
+grid AS (SELECT f.row_id, y, x, coalesce(g.m0, 0) - s / 350 AS z FROM f CROSS JOIN (SELECT y FROM range(7) t(y)) CROSS JOIN (SELECT x FROM range(50) t(x)) LEFT JOIN (SELECT row_id, y - 1 AS y, x, m0 FROM g) g USING (row_id, y, x) WHERE lit > 0),
+cross_ AS (SELECT row_id, sum(p.z * q.z) AS num, count(*) AS links FROM grid p JOIN grid q USING (row_id) WHERE abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 AND (p.y <> q.y OR p.x <> q.x) GROUP BY row_id),
+mo AS (SELECT row_id, CASE WHEN sum(z * z) >= 1e-12 THEN 350 / max(links) * max(num) / sum(z * z) END AS i FROM grid JOIN cross_ USING (row_id) GROUP BY row_id),
+t AS (SELECT c.row_id, r1 AS isotope_colocalization_m1_mob, r2 AS isotope_colocalization_m2_mob, coalesce((r1 + r2) / 2, r1, r2) AS isotope_colocalization_mean_mob, rna AS adduct_colocalization_na_mob, rk AS adduct_colocalization_k_mob, rchca AS adduct_colocalization_chca_mob,
+CASE WHEN k0 IS NOT NULL THEN coalesce(lit, 0) / 350 END AS fraction_detected_mob, CASE WHEN k0 IS NOT NULL THEN CASE WHEN lit > 1 THEN sd / mean ELSE 0 END END AS intensity_cv_mob, CASE WHEN k0 IS NOT NULL THEN ln(1 + coalesce(s, 0) / 350) END AS log_mean_intensity_mob, i AS spatial_morans_i_mob
+FROM c LEFT JOIN f USING (row_id) LEFT JOIN mo USING (row_id))
+SELECT row_id, {_MED} FROM t""")
+def a30_mobility_colocalization(s, d):
+    p = peaks(s, d).withColumn("y", F.col("y") - 1)
+    return _rounded(mobility.mobility_colocalization(_mobile(s, d), p, 7 * 50, 7, 50).select("row_id", *mobility.MOBILITY_FEATURES), 6, *mobility.MOBILITY_FEATURES)
+
+
+@query(f"""WITH {MOBILE}, mem AS (SELECT row_id, protein FROM c WHERE k0 IS NOT NULL AND protein IN (SELECT protein FROM c GROUP BY protein HAVING count(*) >= 2)),
+o0 AS (SELECT protein, row_id, y, x, m0 AS v FROM g JOIN mem USING (row_id) WHERE m0 > 0), own AS (SELECT * EXCLUDE (v), v / sum(v) OVER (PARTITION BY protein, y, x) AS v FROM o0),
+st AS (SELECT row_id, sum(v) AS s, sqrt(sum(v * v) - sum(v) * sum(v) / 350) AS nv FROM own GROUP BY row_id),
+dots AS (SELECT a.row_id AS a, b.row_id AS b, sum(a.v * b.v) AS ab FROM own a JOIN own b ON a.protein = b.protein AND a.y = b.y AND a.x = b.x AND a.row_id <> b.row_id GROUP BY ALL),
+pr AS (SELECT p.row_id AS a, q.row_id AS b, CASE WHEN sa.nv > 1e-10 AND sb.nv > 1e-10 THEN (coalesce(ab, 0) - sa.s * sb.s / 350) / sa.nv / sb.nv ELSE 0 END AS r
+FROM mem p JOIN mem q ON p.protein = q.protein AND p.row_id <> q.row_id LEFT JOIN st sa ON sa.row_id = p.row_id LEFT JOIN st sb ON sb.row_id = q.row_id LEFT JOIN dots ON dots.a = p.row_id AND dots.b = q.row_id)
+SELECT mem.row_id, round(avg(r), 6) AS protein_colocalization_mob, round(max(r), 6) AS protein_colocalization_mob_max, CAST(count(r) AS DOUBLE) AS protein_colocalization_mob_n_partners FROM mem LEFT JOIN pr ON pr.a = mem.row_id GROUP BY mem.row_id""")
+def a32_mobility_protein_colocalization(s, d):
+    cand, p = _mobile(s, d), peaks(s, d).withColumn("y", F.col("y") - 1)
+    i = mobility.settled(mobility.gated_images(cand, p, mobility.mobility_gate(cand)))
+    return _rounded(mobility.protein_colocalization(cand, i, 7 * 50, tic_normalize=True), 6, *mobility.PROTEIN_FEATURES[:2])
+
+
 @query()
 def m21_drift_zscore(s, d):
     e = table(s, d, "lineitem").select(F.col("l_partkey").alias("feature_id"), F.col("l_orderkey").alias("scan"), F.col("l_discount").alias("ppm"))
