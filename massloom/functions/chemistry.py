@@ -209,6 +209,31 @@ def isotope_pattern(atoms: dict[str, Column]) -> tuple[Column, Column, Column]:
     return F.lit(1.0) / total, a / total, m2 / total
 
 
+def with_isotope_distribution(df: DataFrame, atoms: dict[str, Column], n: int, out: str) -> DataFrame:
+    """Adds the first n isotope peaks of a composition, an array with sum 1.
+
+    The series of all isotopes is the product of the elements' series, each to the power of its
+    count. Its logarithmic derivative is the sum of theirs, so with p_i that sum's coefficients the
+    peaks follow one from another: q_k = (p_1 q_(k-1) + .. + p_k q_0) / k, with q_0 = 1. Counts may be fractions.
+    """
+    x = ABUNDANCE
+    series = {"C": [x["C13"]], "H": [x["H2"]], "N": [x["N15"]], "O": [x["O17"], x["O18"]], "S": [x["S33"], x["S34"]]}
+    sums = [F.lit(0.0)] * (n - 1)
+    for atom, count in atoms.items():
+        r = [v / (1 - sum(series[atom])) for v in series[atom]]
+        g: list[float] = []
+        for k in range(1, n):
+            g.append((k * r[k - 1] if k <= len(r) else 0.0) - sum(r[i - 1] * g[k - i - 1] for i in range(1, min(k - 1, len(r)) + 1)))
+        sums = [s + count * F.lit(v) for s, v in zip(sums, g, strict=True)]
+    if n == 1:
+        return df.withColumn(out, F.array(F.lit(1.0)))
+    df = df.withColumn("_sums", once(F.array(*sums)))
+    dot = lambda q, k: F.aggregate(F.zip_with(F.slice("_sums", F.lit(1), k), F.reverse(q), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    peaks = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.array(F.lit(1.0)), lambda q, k: F.concat(q, F.array(dot(q, k) / k)))
+    df = df.withColumn("_series", once(peaks)).withColumn("_total", once(F.aggregate("_series", F.lit(0.0), lambda s, v: s + v)))
+    return df.withColumn(out, once(F.transform("_series", lambda v: v / F.col("_total")))).drop("_sums", "_series", "_total")
+
+
 def cosine3(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Cosine of two short vectors; 0 if either has no length."""
     dot = sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])

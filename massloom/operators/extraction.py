@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from massloom.functions.chemistry import NEUTRON
+from massloom.functions.chemistry import NEUTRON, PROTON, averagine_atoms, with_isotope_distribution
+from massloom.operators.conflicts import best_disjoint
 from massloom.operators.ranges import nearest, range_join
+from massloom.operators.storage import settled
 
 
 def windows(peaks: DataFrame, queries: DataFrame, ppm: float, query: str = "query_mz", peak: str = "mz") -> DataFrame:
@@ -208,20 +210,86 @@ def without_baseline(spectrum: DataFrame, half: int, keys: tuple[str, ...] = ())
     return t.withColumn("intensity", F.greatest(F.lit(0.0), F.col("intensity") - F.avg("_min").over(w))).drop("_min")
 
 
-def deisotoped(intervals: DataFrame, ppm: float = 15.0, charges: tuple[int, ...] = (1,), decay: float = 1.05) -> DataFrame:
-    """Drops intervals that sit one neutron over charge above a kept neighbour and are not higher than ``decay`` times it.
+def isotope_envelopes(intervals: DataFrame, ppm: float = 15.0, charges: tuple[int, ...] = (1,), min_score: float = 10.0, scorer: str = "ms_deconv", keys: tuple[str, ...] = (), most_peaks: int = 16) -> DataFrame:
+    """Envelopes of averagine peptides that fit a spectrum's peaks: one row per envelope and peak in it.
 
-    A peak is an isotope if a peak one spacing below exists, within ppm, at least as high up to
-    the decay: so the first of a falling chain stays and the rest go.
+    Each interval may be the first peak of an envelope of each charge. Its theoretical peaks, up to 95 %
+    of the whole and from a thousandth of it, look for the nearest interval within ppm; one may be
+    missing, and then counts with intensity 1 where the highest interval has 1000. Theory is scaled to
+    the sum of what was found. The score sums over peaks the root of the theoretical intensity times the
+    agreement in m/z (of 0.02) times that in intensity; ``penalized`` takes a share of it by the
+    divergence of the two patterns. At least two peaks are found and the score is ``min_score`` or more.
+    Rows: envelope, score, charge, k, the interval found (NULL if missing) and its intensity.
     """
-    gone = None
-    for z in charges:
-        below = intervals.select("interval_id", "apex_intensity", (F.col("mz_apex") - NEUTRON / z).alias("_want"))
-        other = intervals.select(F.col("mz_apex").alias("_mz"), F.col("apex_intensity").alias("_v"))
-        near = nearest(below, other, "_want", "_mz", ["interval_id", "apex_intensity"], payload=["_v"], ppm=ppm)
-        hit = near.where(F.col("apex_intensity") <= F.col("_v") * decay).select("interval_id")
-        gone = hit if gone is None else gone.union(hit)
-    return intervals.join(gone.distinct(), "interval_id", "left_anti")
+    if scorer not in ("ms_deconv", "penalized"):
+        raise ValueError(f"unknown scorer {scorer!r}: ms_deconv or penalized")
+    own = W.partitionBy(*keys) if keys else None
+    top = F.max("apex_intensity")
+    rows = intervals.select("interval_id", *keys, F.col("mz_apex").alias("mz"), F.col("apex_intensity").cast("double").alias("v"))
+    highest = intervals.groupBy(*keys).agg(top.alias("_top")) if own is not None else intervals.agg(top.alias("_top"))
+    rows = (rows.join(highest, list(keys)) if keys else rows.crossJoin(F.broadcast(highest))).where("_top > 0").withColumn("v", F.col("v") * 1000 / F.col("_top")).drop("_top")
+    rows = settled(rows)
+    firsts = rows.select("interval_id", *keys, "mz", F.explode(F.array(*map(F.lit, charges))).alias("charge"))
+    firsts = firsts.withColumn("_mass", F.col("mz") * F.col("charge") - F.col("charge") * F.lit(PROTON)).where("_mass > 0")
+    firsts = with_isotope_distribution(firsts, averagine_atoms(F.col("_mass")), most_peaks, "_q")
+    theory = firsts.select("interval_id", *keys, "mz", "charge", F.posexplode("_q").alias("k", "share"), "_q")
+    before = F.aggregate(F.slice("_q", F.lit(1), F.col("k")), F.lit(0.0), lambda s, v: s + v)
+    theory = theory.where((before < 0.95) & (F.col("share") >= 0.001)).drop("_q").withColumn("want", F.col("mz") + F.col("k") * F.lit(NEUTRON) / F.col("charge"))
+    theory = settled(theory)
+    seen = rows.select(*keys, F.col("interval_id").alias("_id"), F.col("mz").alias("_mz"), F.col("v").alias("_v"))
+    near = range_join(theory, seen, "want", "_mz", ppm=ppm, by=keys).groupBy("interval_id", "charge", "k").agg(F.min(F.struct(F.abs(F.col("_mz") - F.col("want")).alias("d"), F.col("_mz").alias("m"), F.col("_id").alias("id"), F.col("_v").alias("v"))).alias("n"))
+    peaks = theory.join(near, ["interval_id", "charge", "k"], "left").select("interval_id", "charge", "k", "share", F.col("n.id").alias("id"), F.coalesce("n.d", F.lit(0.0)).alias("d"), F.coalesce("n.v", F.lit(1.0)).alias("v"))
+    fit = peaks.groupBy("interval_id", "charge").agg(F.sum("v").alias("_sv"), F.sum("share").alias("_ss"), F.count("id").alias("_real"), F.count_if(F.col("id").isNull()).alias("_missing"), F.sort_array(F.collect_list(F.struct("k", "share", "id", "d", "v"))).alias("p"))
+    fit = fit.where("_real >= 2 and _missing <= 1")
+    scale = F.col("_sv") / F.col("_ss")
+
+    def of_peak(p: Column) -> Column:
+        want, got = p["share"] * scale, p["v"]
+        off = F.abs(want - got) / got
+        close = F.when(off > 1, 0.0).when(got < want, 1 - off).otherwise(F.sqrt(1 - off))
+        return F.sqrt(want) * F.greatest(F.lit(0.0), 1 - p["d"] / 0.02) * close
+
+    score = F.aggregate(F.transform("p", of_peak), F.lit(0.0), lambda s, v: s + v)
+    if scorer == "penalized":
+        apart = F.aggregate(F.transform("p", lambda p: p["v"] / F.col("_sv") * (F.log(p["v"] / F.col("_sv")) - F.log(p["share"] / F.col("_ss")))), F.lit(0.0), lambda s, v: s + v)
+        score = score * (1 - F.abs(2 * apart))
+    fit = fit.withColumn("score", score).where(F.col("score") >= min_score)
+    # the number of an envelope orders equal scores: by its first interval, then by charge
+    number = F.col("interval_id").cast("long") * 64 + F.col("charge")
+    return fit.select(number.alias("envelope"), "score", "charge", F.explode("p").alias("p")).select("envelope", "score", "charge", "p.k", F.col("p.id").alias("interval_id"), F.col("p.v").alias("v"))
+
+
+def deisotoping(intervals: DataFrame, ppm: float = 15.0, charges: tuple[int, ...] = (1,), min_score: float = 10.0, scorer: str = "ms_deconv", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(interval_id, removed, score, charge): which intervals are isotope peaks of another; by an envelope
+    (then its score and charge), or by the ratio rule (neither).
+
+    Of envelopes that share an interval the best stays, in the order of all scores. An envelope whose
+    second peak is higher than its first removes nothing, and peaks behind a missing second one stay.
+    Then, of what is left, goes what has a higher interval one neutron below it, since mean spectra
+    level the ratio of the two until no envelope fits. Interval ids are whole numbers, one each.
+    """
+    fits = settled(isotope_envelopes(intervals, ppm, charges, min_score, scorer, keys))
+    best = fits.join(best_disjoint(fits.where("interval_id is not null"), "envelope", "score", ["interval_id"]), "envelope", "left_semi")
+    of = W.partitionBy("envelope")
+    v = lambda k: F.max(F.when(F.col("k") == k, F.col("v"))).over(of)
+    second = F.max(F.when((F.col("k") == 1) & F.col("interval_id").isNotNull(), 1)).over(of)
+    marked = best.withColumn("_v0", v(0)).withColumn("_v1", v(1)).withColumn("_second", second)
+    satellites = marked.where("k > 0 and interval_id is not null and coalesce(_v1 <= _v0, true) and (k = 1 or _second = 1)").select("interval_id", "score", "charge")
+    rows = settled(intervals.select("interval_id", *keys, F.col("mz_apex").alias("mz"), F.col("apex_intensity").cast("double").alias("v")).join(satellites, "interval_id", "left"))
+    kept = rows.where("score is null").select("interval_id", *keys, "mz", "v", (F.col("mz") - F.lit(NEUTRON)).alias("_want"))
+    widest = kept.agg(F.max("mz")).first()[0] or 0.0
+    tol = lambda mz: F.lit(ppm * 1e-6) * mz + F.lit(0.001)
+    below = kept.select(*keys, F.col("mz").alias("_m0"), F.col("v").alias("_v0"))
+    lower = range_join(kept, below, "_want", "_m0", tol=ppm * 1e-6 * widest + 0.002, by=keys)
+    ratio = lower.where((F.abs(F.col("_m0") - F.col("_want")) <= tol(F.col("mz"))) & (F.col("_v0") > F.col("v"))).select("interval_id").distinct().withColumn("_ratio", F.lit(True))
+    out = rows.join(ratio, "interval_id", "left")
+    return out.select("interval_id", (F.col("score").isNotNull() | F.col("_ratio").isNotNull()).alias("removed"), "score", "charge")
+
+
+def deisotoped(intervals: DataFrame, ppm: float = 15.0, charges: tuple[int, ...] = (1,), min_score: float = 10.0, scorer: str = "ms_deconv", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The intervals that ``deisotoping`` doesn't remove."""
+    gone = deisotoping(intervals, ppm, charges, min_score, scorer, keys).where("removed").select("interval_id")
+    return intervals.join(gone, "interval_id", "left_anti")
 
 
 def drift_zscore(errors: DataFrame, knots: int = 20) -> DataFrame:

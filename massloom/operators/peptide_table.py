@@ -12,7 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massloom.functions import chemistry as C
+from massloom.operators.conflicts import first_free
+from massloom.operators.ordered import numbered
 from massloom.operators.ranges import nearest, range_join, reference_anti
+from massloom.operators.storage import settled
 
 DECOY = "DECOY_"
 
@@ -105,29 +108,35 @@ def _unit(*key) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def mz_shift_decoys(targets: DataFrame, features: DataFrame, ppm: float = 20.0, delta_min: float = 5.0, delta_max: float = 20.0, snap_ppm: float = 50.0, tries: int = 50, seed: str = "42", snap: bool = True) -> DataFrame:
+def mz_shift_decoys(targets: DataFrame, features: DataFrame, ppm: float = 20.0, delta_min: float = 5.0, delta_max: float = 20.0, snap_ppm: float = 50.0, tries: int = 50, seed: str = "42", snap: bool = True, masses: DataFrame | None = None) -> DataFrame:
     """Targets and, for each distinct target peptide, a decoy at a shifted m/z.
 
-    All tries are rows at once: try k shifts by a hashed amount with alternating sign and snaps to
-    the nearest feature within ``snap_ppm``; shifted places within ppm of any target mass are
-    taken. The first valid try wins; of decoys that would share a place the least hash stays.
+    Try k shifts the peptide's m/z by a hashed amount with alternating sign. With ``snap`` it goes to
+    the nearest feature, if within ``snap_ppm``, which decoys may share; without, the shifted m/z is
+    a feature of its own, and no two decoys come within ppm of each other. Places within ppm of
+    any target mass (mh_mz of ``masses``, or of the targets) are taken. The first valid try stands.
     """
     best = _best_per_peptide(targets.where("not is_decoy"))
     sign = F.when((F.xxhash64(F.col("peptide")) + F.col("_try")) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     delta = sign * (F.lit(delta_min) + _unit(F.lit(seed), F.col("peptide"), F.col("_try")) * F.lit(delta_max - delta_min))
-    table = best.select("peptide", F.col("feature_mz").alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_try")).withColumn("decoy_delta_da", delta).withColumn("shifted", F.col("_own") + F.col("decoy_delta_da")).where("shifted > 0")
+    table = best.select("peptide", F.col("mh_mz").alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_try")).withColumn("shifted", F.col("_own") + delta).where("shifted > 0")
     if snap:
         near = nearest(table, features.select(F.col("feature_mz").alias("_f"), F.col("feature_idx").alias("_fi")), "shifted", "_f", ["peptide", "_try"], payload=["_fi"], ppm=snap_ppm)
         table = table.join(near.select("peptide", "_try", F.col("nearest").alias("place"), F.col("_fi").alias("_idx")), ["peptide", "_try"])
     else:
-        base = features.agg((F.max("feature_idx") + 1).alias("_base"))
-        table = table.withColumn("place", F.col("shifted")).crossJoin(F.broadcast(base)).withColumn("_idx", (F.col("_base") + F.pmod(F.xxhash64("peptide"), F.lit(1 << 30))).cast("int")).drop("_base")
-    free = reference_anti(table, targets.select(F.col("mh_mz").alias("_ref")), "place", "_ref", ["peptide", "_try"], ppm)
-    first = free.groupBy("peptide").agg(F.min(F.struct("_try", "place", "_idx", "decoy_delta_da")).alias("t")).select("peptide", "t.*")
-    own = F.row_number().over(W.partitionBy("place").orderBy(F.xxhash64(F.lit(seed), F.col("peptide")), "peptide"))
-    first = first.withColumn("_r", own).where("_r = 1").select("peptide", "place", "_idx", "decoy_delta_da")
-    decoys = best.join(first, "peptide").withColumn("feature_mz", F.col("place")).withColumn("feature_idx", F.col("_idx")).withColumn("is_decoy", F.lit(True)).withColumn("protein", F.concat(F.lit(DECOY), "protein")).drop("place", "_idx")
-    return targets.withColumn("decoy_delta_da", F.lit(0.0)).unionByName(decoys)
+        table = table.withColumn("place", F.col("shifted"))
+    known = targets if masses is None else masses
+    free = reference_anti(table, known.select(F.col("mh_mz").alias("_ref")), "place", "_ref", ["peptide", "_try"], ppm)
+    if snap:
+        first = free.groupBy("peptide").agg(F.min(F.struct("_try", "place", "_idx", "_own")).alias("t")).select("peptide", "t.*")
+    else:
+        first = first_free(free.select("peptide", "_try", "place", "_own"), "peptide", ppm, seed=seed)
+        # behind the features' numbers, in order of place
+        base = features.agg(F.max("feature_idx")).first()[0]
+        first = numbered(first, "place", "_idx").withColumn("_idx", F.col("_idx") + F.lit(0 if base is None else base + 1))
+    decoys = best.join(first.select("peptide", "place", "_idx", (F.col("place") - F.col("_own")).alias("decoy_delta_da")), "peptide")
+    decoys = decoys.withColumns({"feature_mz": F.col("place"), "feature_idx": F.col("_idx").cast(targets.schema["feature_idx"].dataType), "is_decoy": F.lit(True), "protein": F.concat(F.lit(DECOY), "protein"), "kendrick_mass_defect": C.kendrick_mass_defect(F.col("place"))}).drop("place", "_idx")
+    return targets.withColumn("decoy_delta_da", F.lit(None).cast("double")).unionByName(decoys)
 
 
 def mz_shuffle_decoys(targets: DataFrame, shift_share: float = 0.5) -> DataFrame:
@@ -142,33 +151,67 @@ def mz_shuffle_decoys(targets: DataFrame, shift_share: float = 0.5) -> DataFrame
     return best.unionByName(decoys.select(*best.columns))
 
 
-def substitution_decoys(targets: DataFrame, n_residues: int = 1, seed: str = "42", tries: int = 40, shift_min: float | None = None, ppm: float = 20.0) -> DataFrame:
+#: Residues that substitution puts in, by mass; those of one mass are no change.
+SUBSTITUTES = "".join(sorted("ACDEFGHILMNPQSTVWY", key=lambda r: (C.RESIDUES[r][0], r)))
+
+
+def _substitutions(base: DataFrame, n_residues: int, seed: str, tries: int, relaxed: bool) -> DataFrame:
+    """Per peptide and try: the decoy sequence, whose m/z is ``place``, and how far it moved.
+
+    A hashed direction, up or down in mass, holds for a peptide. One substitution tries every inner
+    place, in hashed order, with a residue of that direction, then every place with the other one.
+    Several take the first places of the order of each try, those without a residue in the direction last.
+    """
+    mass = lambda r: C.RESIDUES[r][0]
+    pools = {r: ["".join(x for x in SUBSTITUTES if side * (mass(x) - mass(r)) > 0) for side in (1, -1)] for r in SUBSTITUTES}
+    of = lambda side: F.create_map(*(F.lit(v) for r, p in pools.items() for v in (r, p[side])))
+    masses = F.create_map(*(F.lit(v) for r in SUBSTITUTES for v in (r, mass(r))))
+    draw = lambda *key: F.abs(F.xxhash64(F.lit(f"{seed}{'r' if relaxed else ''}"), F.col("peptide"), *key))
+    rows = base.withColumn("_up", F.pmod(F.xxhash64(F.lit("direction"), F.col("peptide")), F.lit(2)) == 0)
+    places = F.filter(F.sequence(F.lit(2), F.greatest(F.length("peptide") - 1, F.lit(2))), lambda i: (i < F.length("peptide")) & ~F.substring("peptide", i, 1).isin("K", "R"))
+    rows = rows.withColumn("_places", C.once(places)).where(F.size("_places") >= n_residues)
+    if n_residues == 1:
+        rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_pass")).select("*", F.explode("_places").alias("_at"))
+        rows = rows.withColumn("_try", F.struct("_pass", draw(F.col("_at")).alias("h"), "_at")).withColumn("_chosen", F.array(F.struct("_pass", F.lit(0).cast("long").alias("h"), F.col("_at").alias("at"))))
+    else:
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_n"))
+        lacking = lambda i: F.when(F.col("_up"), F.element_at(of(0), F.substring("peptide", i, 1))).otherwise(F.element_at(of(1), F.substring("peptide", i, 1))) == ""
+        order = F.sort_array(F.transform("_places", lambda i: F.struct(F.when(lacking(i), 1).otherwise(0).alias("_pass"), draw(F.col("_n"), i).alias("h"), i.alias("at"))))
+        rows = rows.withColumn("_try", F.struct(F.lit(0).alias("_pass"), F.col("_n").cast("long").alias("h"), F.lit(0).alias("_at"))).withColumn("_chosen", C.once(F.slice(order, 1, n_residues)))
+
+    def swap(state: Column, c: Column) -> Column:
+        old = F.substring("peptide", c["at"], 1)
+        pool = F.when(F.col("_up") == (c["_pass"] == 0), F.element_at(of(0), old)).otherwise(F.element_at(of(1), old))
+        new = F.substring(pool, (F.pmod(draw(F.lit("to"), F.struct("_try"), c["at"]), F.greatest(F.length(pool), F.lit(1))) + 1).cast("int"), F.lit(1))
+        moved = F.concat(F.substring(state["s"], F.lit(1), c["at"] - 1), new, F.substring(state["s"], c["at"] + 1, F.length("peptide")))
+        return F.struct(moved.alias("s"), (state["d"] + F.element_at(masses, new) - F.element_at(masses, old)).alias("d"))
+
+    made = F.aggregate("_chosen", F.struct(F.col("peptide").alias("s"), F.lit(0.0).alias("d")), swap)
+    rows = rows.withColumn("_made", C.once(made)).where(F.col("_made.d").isNotNull() & (F.length("_made.s") == F.length("peptide")))
+    return rows.select("peptide", "protein", "mh_mz", "_try", F.col("_made.s").alias("decoy"), F.col("_made.d").alias("delta"), (F.col("mh_mz") + F.col("_made.d")).alias("place"))
+
+
+def substitution_decoys(targets: DataFrame, n_residues: int = 1, seed: str = "42", tries: int = 40, shift_min: float | None = None, ppm: float = 20.0, collisions: bool = True) -> DataFrame:
     """A decoy for each target peptide: ``n_residues`` inner residues, none of them K or R, become others.
 
-    Each try hashes places and residues; tries that give a target's sequence, a mass within ppm
-    of one, or a shift below ``shift_min`` fail; the first that remains wins. If all fail, the
-    first with another sequence stands.
+    Tries that shift the m/z by less than ``shift_min`` (or ppm), or to within ppm of a target, fail.
+    No two decoys come within ppm of each other; peptides for which that leaves no try get the first
+    that avoids the targets alone. Those without any get none. Without ``collisions`` every try that is far enough stands.
     """
-    inner = "ACDEFGHILMNPQSTVWY"
-    base = targets.where("not is_decoy").select("peptide", "protein", "mass").dropDuplicates(["peptide"])
-    rows = base.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("_s", F.col("peptide"))
-    free = lambda s: F.filter(F.sequence(F.lit(2), F.greatest(F.length(s) - 1, F.lit(2))), lambda i: (i < F.length(s)) & ~F.substring(s, i, 1).isin("K", "R"))
-    for k in range(n_residues):
-        places = free(F.col("_s"))
-        at = F.get(places, F.pmod(F.xxhash64(F.lit(f"{seed}p{k}"), F.col("peptide"), F.col("_try")), F.greatest(F.size(places), F.lit(1))).cast("int"))
-        to = F.substring(F.lit(inner), (F.pmod(F.xxhash64(F.lit(f"{seed}r{k}"), F.col("peptide"), F.col("_try")), F.lit(len(inner))) + 1).cast("int"), F.lit(1))
-        rows = rows.withColumn("_at", at).withColumn("_to", to).where("_at is not null").withColumn("_s", F.concat(F.substring("_s", F.lit(1), F.col("_at") - 1), F.col("_to"), F.expr("substring(_s, _at + 1)"))).drop("_at", "_to")
-    rows = rows.where(F.col("_s") != F.col("peptide")).join(base.select(F.col("peptide").alias("_s")), "_s", "left_anti")
-    rows = rows.withColumn("_m", C.mh_mz(C.neutral_mass(F.col("_s"))))
-    clear = reference_anti(rows, base.select(C.mh_mz(F.col("mass")).alias("_ref")).distinct(), "_m", "_ref", ["peptide", "_try"], ppm).select("peptide", "_try").withColumn("_ok", F.lit(0))
-    rows = rows.join(clear, ["peptide", "_try"], "left").withColumn("_bad", F.coalesce("_ok", F.lit(1)))
-    if shift_min is not None:
-        rows = rows.where(F.abs(F.col("_m") - C.mh_mz(F.col("mass"))) >= shift_min)
-    pick = rows.groupBy("peptide", "protein").agg(F.min(F.struct("_bad", "_try", "_s")).alias("t"))
-    # of peptides that would give one decoy sequence the least hash keeps it
-    own = F.row_number().over(W.partitionBy("decoy").orderBy(F.xxhash64(F.lit(seed), F.col("peptide")), "peptide"))
-    out = pick.select("peptide", "protein", F.col("t._s").alias("decoy")).withColumn("_r", own).where("_r = 1")
-    return with_masses(out.select(F.col("decoy").alias("peptide"), F.concat(F.lit(DECOY), "protein").alias("protein"), F.lit(True).alias("is_decoy")))
+    base = targets.where("not is_decoy").select("peptide", "protein", "mass").dropDuplicates(["peptide"]).withColumn("mh_mz", C.mh_mz(F.col("mass")))
+    base = settled(base)
+    least = F.lit(shift_min) if shift_min is not None else F.col("mh_mz") * F.lit(ppm) / F.lit(1e6)
+    found = None
+    for relaxed in (False, True):
+        left = base if found is None else base.join(found.select("peptide"), "peptide", "left_anti")
+        rows = _substitutions(left, n_residues, seed, tries if not relaxed else -(-tries // 2), relaxed).where(F.abs("delta") >= least)
+        if collisions:
+            rows = reference_anti(rows, base.select(F.col("mh_mz").alias("_ref")), "place", "_ref", ["peptide", "_try"], ppm)
+        more = first_free(rows.select("peptide", "_try", "place", "protein", "decoy"), "peptide", ppm, relaxed=relaxed or not collisions, seed=seed)
+        found = more if found is None else found.unionByName(more)
+        if not collisions:
+            break
+    return with_masses(found.select(F.col("decoy").alias("peptide"), F.concat(F.lit(DECOY), "protein").alias("protein"), F.lit(True).alias("is_decoy")))
 
 
 def entrapment(foreign: DataFrame, targets: DataFrame, features: DataFrame, ppm: float = 20.0, missed: int = 2, shortest: int = 7, longest: int = 30) -> DataFrame:

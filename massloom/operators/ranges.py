@@ -20,8 +20,8 @@ def _log_bucket(c: Column, width: float) -> Column:
     return F.floor(F.log(c) / F.lit(width)).cast("long")
 
 
-def range_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, ppm: float | None = None, tol: float | None = None, salts: int = 1) -> DataFrame:
-    """Inner join of rows with |r - l| <= l * ppm / 1e6, or <= tol. Column names must not clash."""
+def range_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, ppm: float | None = None, tol: float | None = None, salts: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Inner join of rows with |r - l| <= l * ppm / 1e6, or <= tol, and equal ``by`` columns. Other column names must not clash, nor be _b or _salt."""
     l, r = F.col(lcol), F.col(rcol)
     if ppm is not None:
         width = math.log1p(2 * ppm * 1e-6)
@@ -33,12 +33,12 @@ def range_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, ppm: flo
         near = F.abs(r - l) <= F.lit(tol)
     reach = left.where(l.isNotNull()).withColumn("_b", F.explode(F.array(*(bucket(l) + k for k in (-1, 0, 1)))))
     held = right.where(r.isNotNull()).withColumn("_b", bucket(r))
-    on = ["_b"]
+    on = ["_b", *by]
     if salts > 1:
         reach = reach.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         held = held.withColumn("_salt", F.pmod(F.xxhash64(r), F.lit(salts)).cast("int"))
         on.append("_salt")
-    return reach.join(held, on).where(near).drop(*on)
+    return reach.join(held, on).where(near).drop("_b", "_salt")
 
 
 def range_semi(left: DataFrame, right: DataFrame, lcol: str, rcol: str, key: list[str], **tolerance) -> DataFrame:
