@@ -7,7 +7,10 @@ and the ranges' totals, few rows, shift them. So no window puts all rows into on
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,8 +41,9 @@ def winners(df: DataFrame, group: str, score: str, ties: list[str], drop_share:
     best = df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     if drop_share <= 0:
         return best
-    edge = best.agg(F.percentile(score, F.lit(drop_share)).alias("_edge"))
-    return best.crossJoin(F.broadcast(edge)).where(F.col(score) >= F.col("_edge")).drop("_edge")
+    best = settled(best)
+    edge = quantiles(best, score, [drop_share])[0]
+    return best if edge is None else best.where(F.col(score) >= F.lit(edge))
 
 
 def _with_range(df: DataFrame, score: str, ranges: int) -> DataFrame:
@@ -146,14 +150,151 @@ def quantiles(df: DataFrame, value: str, shares: list[float], bins: int = 4096,
     return [found[math.floor(a)] + (found[math.ceil(a)] - found[math.floor(a)]) * (a - math.floor(a)) if math.floor(a) != math.ceil(a) else found[math.floor(a)] for a in at]
 
 
+def _numbers(batch: pa.RecordBatch, j: int) -> np.ndarray:
+    v = batch.column(j).drop_null().to_numpy(zero_copy_only=False)
+    return v[~np.isnan(v)]
+
+
+def column_ends(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, least and largest value of each column, all of doubles; NULL and NaN left out (then 0, inf, -inf)."""
+    width = len(rows.columns)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, lo, hi = np.zeros(width, np.int64), np.full(width, np.inf), np.full(width, -np.inf)
+        for batch in batches:
+            for j in range(width):
+                v = _numbers(batch, j)
+                if len(v):
+                    n[j], lo[j], hi[j] = n[j] + len(v), min(lo[j], v.min()), max(hi[j], v.max())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(n), pa.array(lo), pa.array(hi)], names=["j", "n", "lo", "hi"])
+
+    n, lo, hi = np.zeros(width, np.int64), np.full(width, np.inf), np.full(width, -np.inf)
+    for r in rows.mapInArrow(ends, "j int, n long, lo double, hi double").groupBy("j").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+        n[r["j"]], lo[r["j"]], hi[r["j"]] = r["n"], r["lo"], r["hi"]
+    return n, lo, hi
+
+
+def column_spread(rows: DataFrame, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each column of doubles, NULL and NaN taken as its ``fill``."""
+    width = len(rows.columns)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q = 0, np.zeros(width), np.zeros(width)
+        for batch in batches:
+            n += len(batch)
+            for j in range(width):
+                v = _numbers(batch, j) - fill[j]
+                s[j] += v.sum()
+                q[j] += (v * v).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, n)), pa.array(s), pa.array(q)], names=["j", "n", "s", "q"])
+
+    mean, deviation = np.array(fill, float), np.zeros(width)
+    for r in rows.mapInArrow(sums, "j int, n long, s double, q double").groupBy("j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect():
+        if r["n"]:
+            mean[r["j"]] += r["s"] / r["n"]
+            deviation[r["j"]] = math.sqrt(max(0.0, r["q"] / r["n"] - (r["s"] / r["n"]) ** 2))
+    return mean, deviation
+
+
+def column_quantiles(df: DataFrame, columns: list[str], share: float, bins: int = 8192, few: int = 65_536) -> dict[str, float | None]:
+    """One exact quantile of each of many columns, as ``quantiles`` has it, in three passes over all of them.
+
+    The first takes ends and numbers, the second counts values in bins that are equal after an inverse
+    hyperbolic sine, the third fetches the values of the one or two bins that hold the wanted places; a
+    column where these are many is searched on its own.
+    """
+    df = df.select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    number, least, most = column_ends(df)
+    live = [k for k in range(len(columns)) if number[k] and least[k] < most[k]]
+    out: dict[str, float | None] = {c: float(least[k]) if number[k] else None for k, c in enumerate(columns)}
+    if not live:
+        return out
+    low = {k: math.asinh(least[k]) for k in live}
+    scale = {k: bins / (math.asinh(most[k]) - low[k]) if math.asinh(most[k]) > low[k] else 0.0 for k in live}
+
+    def placed(values: np.ndarray, k: int) -> np.ndarray:
+        return np.minimum((np.arcsinh(values) - low[k]) * scale[k], bins - 1).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(live), bins), np.int64)
+        for batch in batches:
+            for j, k in enumerate(live):
+                held[j] += np.bincount(placed(_numbers(batch, j), k), minlength=bins)
+        j, b = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(held[j, b])], names=["j", "b", "n"])
+
+    rows = df.select(*(f"c{k}" for k in live))
+    counted = rows.mapInArrow(count, "j int, b int, n long").groupBy("j", "b").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((len(live), bins), np.int64)
+    table[counted.column("j").to_numpy(), counted.column("b").to_numpy()] = counted.column("n").to_numpy()
+    upto = table.cumsum(axis=1)
+    want, alone = {}, []
+    for j, k in enumerate(live):
+        at = share * (int(number[k]) - 1)
+        first, last = (int(np.searchsorted(upto[j], place, "right")) for place in (math.floor(at), math.ceil(at)))
+        if table[j, first] + table[j, last] > few:
+            alone.append(k)
+        else:
+            want[j] = (first, last, at, int(upto[j, first] - table[j, first]))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j, (first, last, _, _) in want.items():
+                values = _numbers(batch, j)
+                b = placed(values, live[j])
+                v = values[(b == first) | (b == last)]
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v)], names=["j", "v"])
+
+    found = rows.mapInArrow(fetch, "j int, v double").toArrow() if want else None
+    for j, (first, last, at, before) in want.items():
+        values = np.sort(found.column("v").to_numpy()[found.column("j").to_numpy() == j])
+        a = values[math.floor(at) - before]
+        # only values of the two bins are here: what lies between them is empty
+        b = values[math.ceil(at) - before] if last == first else values[int(table[j, first])]
+        out[columns[live[j]]] = float(a + (b - a) * (at - math.floor(at)))
+    for k in alone:
+        out[columns[k]] = quantiles(rows, f"c{k}", [share])[0]
+    return out
+
+
+def ranked(df: DataFrame, strata: list[str], order: str, ties: list[str], out: str) -> DataFrame:
+    """Adds the place of each row in its stratum, from 1, by an md5 column and the ties. A stratum may hold
+    all rows: they are numbered by the md5's first digits, and these parts' sizes are summed up."""
+    rows = df.withColumn("_part", F.substring(order, 1, 3))
+    sizes = rows.groupBy(*strata, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*strata).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in strata), F.col("_part").alias("_of_part"), before.alias("_before"))
+    same = F.col("_part") == F.col("_of_part")
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    rows = rows.join(sizes, same).drop("_of_part", *(f"_of_{c}" for c in strata))
+    place = F.row_number().over(W.partitionBy(*strata, "_part").orderBy(order, *ties)) + F.col("_before")
+    return rows.withColumn(out, place).drop("_part", "_before")
+
+
+def _seeded(seed: str, key: list[str]) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") for k in key)))
+
+
 def stratified_sample(df: DataFrame, strata: list[str], key: list[str], need: Column, seed: str = "42") -> DataFrame:
     """At most ``need`` rows of each stratum, in the order of a seeded md5 of the key; no filling across strata."""
-    order = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") for k in key)))
-    w = W.partitionBy(*strata).orderBy(order, *key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need).drop("_r")
+    rows = ranked(df.withColumn("_md5", _seeded(seed, key)), strata, "_md5", key, "_r")
+    return rows.where(F.col("_r") <= need).drop("_r", "_md5")
+
+
+def sample_with_top_up(df: DataFrame, strata: list[str], key: list[str], need: Column, total: int, seed: str = "42") -> DataFrame:
+    """As ``stratified_sample``; then, up to ``total`` rows in all, those left over, in the order of the same md5."""
+    rows = ranked(df.withColumn("_md5", _seeded(seed, key)), strata, "_md5", key, "_r")
+    rows = settled(rows.withColumn("_own", F.coalesce(F.col("_r") <= need, F.lit(False))).drop("_r"))
+    short = total - rows.where("_own").count()
+    if short <= 0:
+        return rows.where("_own").drop("_own", "_md5")
+    rest = ranked(rows.where("not _own"), ["_own"], "_md5", key, "_r").where(F.col("_r") <= short)
+    return rows.where("_own").unionByName(rest.drop("_r")).drop("_own", "_md5")
 
 
 def folds(df: DataFrame, strata: list[str], key: list[str], k: int = 3, seed: str = "42", out: str = "fold") -> DataFrame:
     """Stratified folds 0 to k - 1."""
-    order = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in key)))
-    return df.withColumn(out, ((F.row_number().over(W.partitionBy(*strata).orderBy(order, *key)) - 1) % k).cast("int"))
+    rows = ranked(df.withColumn("_md5", _seeded(seed, key)), strata, "_md5", key, "_r")
+    return rows.withColumn(out, ((F.col("_r") - 1) % k).cast("int")).drop("_r", "_md5")

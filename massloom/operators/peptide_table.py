@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from massloom.functions import chemistry as C
 from massloom.operators.conflicts import first_free
-from massloom.operators.ordered import numbered
+from massloom.operators.ordered import numbered, sample_with_top_up, stratified_sample
 from massloom.operators.ranges import nearest, range_join, reference_anti
-from massloom.operators.storage import settled
+from massloom.operators.storage import settled, stored
 
 DECOY = "DECOY_"
 
@@ -240,39 +240,43 @@ def shuffled_entrapment(evidence: DataFrame, ppm: float = 20.0, missed: int = 2,
 
 
 def balanced_shuffle(proteins: DataFrame, targets: DataFrame, features: DataFrame, ppm: float = 20.0, rounds: int = 50, block: int = 5, ratio: float = 1.0, by: str = "length", coverage: float = 0.95, missed: int = 2, shortest: int = 7, longest: int = 30, seed: str = "42") -> DataFrame:
-    """Decoys from rounds of shuffled proteins, matched, then sampled to as many as the targets.
+    """Decoys from rounds of shuffled proteins, matched, then sampled to as many candidates as the targets have.
 
-    Rounds come in blocks; the next block runs only while some length (or, by feature, more than
-    1 - coverage of the target features) still lacks decoys. ``by``: length or feature.
+    Rounds come in blocks, each stored, so that a later one only adds its own new matches. The next
+    block runs while there are fewer decoys than wanted in all, or some length has some but too few
+    (``by`` feature: more than 1 - coverage of the target features have none). By length, each gets
+    its own number, without filling from other lengths. By feature, each gets its own number as far
+    as decoys match it, and what is short in all is topped up from the rest of the pool.
     """
+    targets = stored(targets)
     known = targets.where("not is_decoy")
-    need = known.groupBy(F.length("peptide").alias("_len")).agg(F.ceil(F.count_distinct("peptide") * F.lit(ratio)).cast("int").alias("_need"))
-    pool = None
+    plain = known.select("peptide").distinct()
+    per = known.groupBy(F.length("peptide").alias("_of") if by == "length" else F.col("feature_idx").alias("_of")).agg(F.round(F.count(F.lit(1)) * F.lit(ratio)).cast("long").alias("_need"))
+    per = settled(per)
+    total = int(known.count() * ratio)
+    found = None
     for start in range(0, rounds, block):
         mixed = proteins.withColumn("_round", F.explode(F.sequence(F.lit(start), F.lit(min(rounds, start + block) - 1))))
         mixed = shuffled_proteins(mixed, F.concat(F.lit(DECOY), "accession", F.lit("_r"), F.col("_round").cast("string")), F.concat(F.lit(seed), F.col("accession"), F.col("_round").cast("string")))
         table = first_protein(digest(mixed, missed, shortest, longest), ["peptide"]).withColumn("is_decoy", F.lit(True))
-        table = table.join(known.select("peptide").distinct(), "peptide", "left_anti")
-        pool = table if pool is None else pool.unionByName(table)
-        found = range_join(features, with_masses(first_protein(pool, ["peptide"]).withColumn("is_decoy", F.lit(True))), "feature_mz", "mh_mz", ppm=ppm).cache()
+        table = table.join(plain, "peptide", "left_anti")
+        table = table if found is None else table.join(found.select("peptide").distinct(), "peptide", "left_anti")
+        more = stored(range_join(features, with_masses(table), "feature_mz", "mh_mz", ppm=ppm).withColumn("_of", F.length("peptide") if by == "length" else F.col("feature_idx")))
+        found = more if found is None else found.unionByName(more)
+        if found.count() < total:
+            continue
+        have = found.groupBy("_of").agg(F.count(F.lit(1)).alias("_have"))
         if by == "length":
-            have = found.groupBy(F.length("peptide").alias("_len")).agg(F.count_distinct("peptide").alias("_have"))
-            done = need.join(have, "_len", "left").where(F.coalesce("_have", F.lit(0)) < F.col("_need")).limit(1).count() == 0
+            done = per.join(have, "_of").where("_have < _need").isEmpty()
         else:
-            wanted = known.select("feature_idx").distinct()
-            done = wanted.join(found.select("feature_idx").distinct(), "feature_idx", "left_semi").count() >= coverage * wanted.count()
+            done = per.join(have, "_of", "left_semi").count() >= coverage * per.count()
         if done:
             break
-    order = F.md5(F.concat_ws("|", F.lit(seed), "peptide"))
-    if by == "length":
-        one = found.select("peptide").distinct().withColumn("_len", F.length("peptide"))
-        one = one.withColumn("_r", F.row_number().over(W.partitionBy("_len").orderBy(order, "peptide"))).join(need, "_len").where(F.col("_r") <= F.col("_need")).select("peptide")
-        found = found.join(one, "peptide", "left_semi")
-    else:
-        per = known.groupBy("feature_idx").agg(F.ceil(F.count(F.lit(1)) * F.lit(ratio)).cast("int").alias("_need"))
-        w = W.partitionBy("feature_idx").orderBy(order, "peptide")
-        found = found.withColumn("_r", F.row_number().over(w)).join(per, "feature_idx").where(F.col("_r") <= F.col("_need")).drop("_r", "_need")
-    out = found.withColumn("ppm_error", C.ppm_error(F.col("feature_mz"), F.col("mh_mz"))).withColumn("ppm_error_abs", F.abs("ppm_error")).withColumn("kendrick_mass_defect", C.kendrick_mass_defect(F.col("feature_mz")))
+    need = F.coalesce(F.col("_need"), F.lit(0))
+    pool = found.join(per, "_of", "left")
+    key = ["peptide", "feature_idx"]
+    kept = stratified_sample(pool, ["_of"], key, need, seed) if by == "length" else sample_with_top_up(pool, ["_of"], key, need, total, seed)
+    out = kept.drop("_of", "_need").withColumn("ppm_error", C.ppm_error(F.col("feature_mz"), F.col("mh_mz"))).withColumn("ppm_error_abs", F.abs("ppm_error")).withColumn("kendrick_mass_defect", C.kendrick_mass_defect(F.col("feature_mz")))
     shared = [c for c in targets.columns if c in out.columns]
     both = targets.unionByName(out.select(*shared), allowMissingColumns=True)
     return with_candidate_counts(both.drop("n_candidates", "log_n_candidates"))

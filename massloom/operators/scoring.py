@@ -7,6 +7,7 @@ happen on the driver. Tree models and k-means are Spark ML's.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,17 +16,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massloom.operators.ordered import folds, tdc_q_values, winners
-from massloom.operators.storage import settled
+from massloom.operators.ordered import column_ends, column_quantiles, column_spread, folds, quantiles, tdc_q_values, winners
+from massloom.operators.storage import settled, stored
 
 
 def standardised(df: DataFrame, features: list[str]) -> DataFrame:
     """Adds x: the features as an array, NULL filled by the median, less mean over population deviation; constants 0."""
-    medians = df.agg(*(F.coalesce(F.percentile(f, F.lit(0.5)), F.lit(0.0)).alias(f) for f in features)).first()
-    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(medians[f]))) for f in features}
-    stats = df.agg(*(F.avg(c).alias(f"m_{f}") for f, c in filled.items()), *(F.stddev_pop(c).alias(f"s_{f}") for f, c in filled.items())).first()
-    one = lambda f: (filled[f] - F.lit(float(stats[f"m_{f}"] or 0.0))) / F.lit(float(stats[f"s_{f}"] or 0.0) or 1.0)
-    return df.withColumn("x", F.array(*(one(f) for f in features)))
+    medians = column_quantiles(df, features, 0.5)
+    fill = np.array([float(medians[f] or 0.0) for f in features])
+    mean, deviation = column_spread(df.select(*(F.col(f).cast("double").alias(f"c{k}") for k, f in enumerate(features))), fill)
+    filled = lambda k, f: F.coalesce(F.col(f).cast("double"), F.lit(float(fill[k])))
+    return df.withColumn("x", F.array(*((filled(k, f) - F.lit(float(mean[k]))) / F.lit(float(deviation[k]) or 1.0) for k, f in enumerate(features))))
 
 
 def with_interactions(df: DataFrame, features: list[str], top: list[str]) -> tuple[DataFrame, list[str]]:
@@ -246,25 +247,25 @@ def fit_and_score(train: DataFrame, test: DataFrame, p: int, model: str = "lda",
     return test.withColumn("score", fitted.score())
 
 
-def out_of_fold(df: DataFrame, p: int, model: str, key: list[str], k: int = 3, **options) -> DataFrame:
-    """Each fold scored by a model of the other folds' labelled rows; rows of label 0 are scored, not learned.
+def out_of_fold(df: DataFrame, p: int, model: str, keep: list[str], k: int = 3, labels: DataFrame | None = None, **options) -> DataFrame:
+    """The columns of ``keep`` and a score: each fold's from a model of the other folds' labelled rows.
+    Rows of label 0 are scored, not learned. ``df`` has fold, x and label, or the last in ``labels`` by _row.
 
     Discriminants of all folds come from one pass: a fold's model has the sums of the others.
     """
-    parted = folds(df, ["is_decoy"], key, k).cache()
-    found = moments_by(parted.where("label != 0"), ["fold", "label"], p) if model in ("lda", "qda") else {}
-    out = None
-    for fold in range(k):
-        test = parted.where(F.col("fold") == fold)
-        if found:
+    pool = df if labels is None else df.join(labels, "_row")
+    if model in ("lda", "qda"):
+        found = moments_by(pool.where("label != 0"), ["fold", "label"], p)
+        score = F.lit(None).cast("double")
+        for fold in range(k):
             others = {c: summed([m for (f, label), m in found.items() if f != fold and label == c], p) for c in (-1, 1)}
-            scored = test.withColumn("score", {"lda": lda, "qda": qda}[model](others).score())
-        else:
-            scored = fit_and_score(parted.where((F.col("fold") != fold) & (F.col("label") != 0)), test, p, model, **options)
+            score = F.when(F.col("fold") == fold, {"lda": lda, "qda": qda}[model](others).score()).otherwise(score)
+        return settled(df.select(*keep, score.alias("score")))
+    pool, out = stored(pool.select(*keep, "fold", "x", "label")), None
+    for fold in range(k):
+        scored = fit_and_score(pool.where((F.col("fold") != fold) & (F.col("label") != 0)), pool.where(F.col("fold") == fold), p, model, **options).select(*keep, "score")
         out = scored if out is None else out.unionByName(scored)
-    out = settled(out.drop("fold"))
-    parted.unpersist()
-    return out
+    return settled(out)
 
 
 def labelled(df: DataFrame, positive: Column) -> DataFrame:
@@ -272,25 +273,97 @@ def labelled(df: DataFrame, positive: Column) -> DataFrame:
     return df.withColumn("label", F.when(F.col("is_decoy"), -1).when(positive, 1).otherwise(0).cast("tinyint"))
 
 
-def seed_sweep(df: DataFrame, features: list[str], key: list[str], fdr: float, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(feature, direction, n): for each feature, both ways, the targets at the FDR if it alone were the score."""
+def seed_sweep(df: DataFrame, features: list[str], key: list[str], fdr: float, skip: tuple[str, ...] = (), ranges: int = 32) -> DataFrame:
+    """(feature, direction, n): for each feature, both ways, the targets at the FDR if it alone were the score.
+
+    Rows are counted within ranges of a feature's values, between approximate quantiles and at each of
+    them; a range of one value, which may be most rows, is split by the hash that orders equal values.
+    """
     wide = [f for f in features if f not in skip]
-    stack = ", ".join(f"'{f}', cast(`{f}` as double)" for f in wide)
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key))))
-    rows = hashed.select(*key, "is_decoy", "_h", F.expr(f"stack({len(wide)}, {stack}) as (feature, value)")).where("value is not null and not isnan(value)")
-    rows = rows.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("s", F.col("value") * F.col("direction"))
+    own = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f)
+    hashed = settled(df.select("is_decoy", F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key))).alias("_h"), *map(own, wide)))
+    rows = None
+    for f, edges in zip(wide, hashed.approxQuantile(wide, [k / ranges for k in range(1, ranges)], 0.002), strict=True):
+        place = F.lit(0)
+        for e in sorted(set(edges)):
+            place = place + F.when(F.col(f) > e, 2).when(F.col(f) >= e, 1).otherwise(0)
+        one = hashed.where(F.col(f).isNotNull()).select(F.lit(f).alias("feature"), "is_decoy", "_h", F.col(f).alias("value"), place.alias("_range"))
+        rows = one if rows is None else rows.unionByName(one)
+    # an odd range is one value
+    rows = rows.withColumn("_part", F.when(F.col("_range") % 2 == 1, F.conv(F.substring("_h", 1, 1), 16, 10).cast("int")).otherwise(0))
     from pyspark.sql import Window as W
 
-    of = W.partitionBy("feature", "direction")
-    run = of.orderBy(F.desc("s"), "_h", *key).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_d", F.sum(F.col("is_decoy").cast("long")).over(run)).withColumn("_n", F.count(F.lit(1)).over(run))
+    # per range: decoys and rows before it and up to its end, both ways
+    both = F.explode(F.array(F.lit(1), F.lit(-1))).alias("direction")
+    cells = rows.groupBy("feature", "_range", "_part").agg(F.sum(F.col("is_decoy").cast("long")).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    cells = settled(cells.select("feature", "_range", "_part", "_d", "_n", both))
+    upto = W.partitionBy("feature", "direction").orderBy(F.desc(F.col("_range") * F.col("direction")), "_part").rowsBetween(W.unboundedPreceding, 0)
+    cells = cells.select("feature", "direction", "_range", "_part", (F.sum("_d").over(upto) - F.col("_d")).alias("_d0"), (F.sum("_n").over(upto) - F.col("_n")).alias("_n0"), F.sum("_d").over(upto).alias("_d1"), F.sum("_n").over(upto).alias("_n1"))
     # a row passes if it or a later one is within the FDR: so all targets up to the last such row do
-    within = (F.col("_d") + 1) / F.greatest(F.col("_n") - F.col("_d"), F.lit(1)) <= fdr
-    return rows.groupBy("feature", "direction").agg(F.coalesce(F.max(F.when(within, F.col("_n") - F.col("_d"))), F.lit(0)).alias("n"))
+    within = lambda d, n, t=None: (F.col(d) + 1) / F.greatest(F.col(n) - F.col(t or d), F.lit(1)) <= fdr
+    sure = cells.groupBy("feature", "direction").agg(F.coalesce(F.max(F.when(within("_d1", "_n1"), F.col("_n1") - F.col("_d1"))), F.lit(0)).alias("_sure"))
+    sure = settled(sure)
+    # only ranges that may end higher are looked into
+    open_ = cells.join(F.broadcast(sure), ["feature", "direction"]).where(within("_d0", "_n1", "_d1") & (F.col("_n1") - F.col("_d1") > F.col("_sure"))).select("feature", "direction", "_range", "_part", "_d0", "_n0")
+    near = rows.join(F.broadcast(open_), ["feature", "_range", "_part"]).withColumn("s", F.col("value") * F.col("direction"))
+    run = W.partitionBy("feature", "direction", "_range", "_part").orderBy(F.desc("s"), "_h", "is_decoy").rowsBetween(W.unboundedPreceding, 0)
+    near = near.withColumn("_d", F.sum(F.col("is_decoy").cast("long")).over(run) + F.col("_d0")).withColumn("_n", F.count(F.lit(1)).over(run) + F.col("_n0"))
+    more = near.groupBy("feature", "direction").agg(F.max(F.when(within("_d", "_n"), F.col("_n") - F.col("_d"))).alias("_more"))
+    return sure.join(more, ["feature", "direction"], "left").select("feature", "direction", F.greatest("_sure", F.coalesce("_more", F.lit(0))).alias("n"))
+
+
+def seed_bounds(table: DataFrame, scores: list[tuple[int, int, int | None]], fdr: float, bins: int = 2048) -> dict[tuple[int, int], tuple[int, int]]:
+    """For single entries of the array x, or sums and differences of two (i, sign, j), both ways: (number,
+    direction) to the least and the most targets at the FDR that counts in bins of the score allow.
+    One pass over the table (is_decoy, x); values that aren't numbers take no part."""
+    entries = sorted({k for i, _, j in scores for k in (i, j) if k is not None})
+    _, least, most = column_ends(table.select(*(F.get("x", k).alias(f"c{k}") for k in entries)))
+    ends = {k: (float(a), float(b)) if a <= b else (0.0, 0.0) for k, a, b in zip(entries, least, most, strict=True)}
+    spans = []
+    for i, sign, j in scores:
+        lo, hi = ends[i]
+        if j is not None:
+            lo, hi = lo + (ends[j][0] if sign > 0 else -ends[j][1]), hi + (ends[j][1] if sign > 0 else -ends[j][0])
+        spans.append((np.arcsinh(lo), bins / max(np.arcsinh(hi) - np.arcsinh(lo), 1e-12)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(scores), 2 * bins), np.int64)
+        for batch in (b for b in batches if len(b)):
+            decoy = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) * bins
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            for k, ((i, sign, j), (low, scale)) in enumerate(zip(scores, spans, strict=True)):
+                v = x[:, i] if j is None else x[:, i] + sign * x[:, j]
+                real = ~np.isnan(v)
+                at = np.clip((np.arcsinh(v[real]) - low) * scale, 0, bins - 1).astype(np.int64)
+                held[k] += np.bincount(at + decoy[real], minlength=2 * bins)
+        k, b = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(held[k, b])], names=["k", "b", "n"])
+
+    found = table.select("is_decoy", "x").mapInArrow(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros((len(scores), 2 * bins), np.int64)
+    held[found.column("k").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
+    out = {}
+    for k in range(len(scores)):
+        for direction in (1, -1):
+            t, d = (part[::-direction].cumsum() for part in (held[k, :bins], held[k, bins:]))
+            before = np.concatenate([[0], d[:-1]])
+            sure, hoped = (d + 1) / np.maximum(t, 1) <= fdr, (before + 1) / np.maximum(t, 1) <= fdr
+            out[k, direction] = (int(t[sure].max(initial=0)), int(t[hoped].max(initial=0)))
+    return out
+
+
+def may_be_best(bounds: dict[tuple[int, int], tuple[int, int]], beaten: int = -1) -> list[int]:
+    """Numbers of the scores that may pass most targets, and more than ``beaten``."""
+    sure = max((low for low, _ in bounds.values()), default=0)
+    return sorted({k for (k, _), (_, most) in bounds.items() if most > beaten and most >= sure})
 
 
 def best_seed(df: DataFrame, features: list[str], key: list[str], fdr: float, skip: tuple[str, ...] = ()) -> tuple[str, int, int]:
-    row = seed_sweep(df, features, key, fdr, skip).orderBy(F.desc("n"), "feature", F.desc("direction")).first()
+    """The feature and direction that pass most targets, and how many; only what may be best by bounds is counted row by row."""
+    wide = [f for f in features if f not in skip]
+    x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in wide))
+    open_ = may_be_best(seed_bounds(df.select("is_decoy", x.alias("x")), [(k, 1, None) for k in range(len(wide))], fdr)) if len(wide) > 2 else range(len(wide))
+    row = seed_sweep(df, [wide[k] for k in open_], key, fdr).orderBy(F.desc("n"), "feature", F.desc("direction")).first()
     return row["feature"], row["direction"], row["n"]
 
 
@@ -300,13 +373,14 @@ def seed_score(table: DataFrame, features: list[str], key: list[str], fdr: float
     name, way, n = best_seed(table, features, key, fdr, skip)
     score = F.coalesce(F.col(name).cast("double") * way, F.lit(-1e300))
     at = [k for k, f in enumerate(features) if f not in skip]
-    moving = table.agg(*(F.stddev_pop(F.get("x", k)).alias(f"s{k}") for k in at)).first()
-    at = [k for k in at if moving[f"s{k}"]]
-    pairs = {f"{sign}{i}_{j}": F.get("x", i) + sign * F.get("x", j) for a, i in enumerate(at) for j in at[a + 1 :] for sign in (1, -1)}
+    _, least, most = column_ends(table.select(*(F.get("x", k).alias(f"c{k}") for k in at)))
+    at = [k for k, a, b in zip(at, least, most, strict=True) if a < b]
+    pairs = [(i, sign, j) for a, i in enumerate(at) for j in at[a + 1 :] for sign in (1, -1)]
     if n < least_positives and pairs:
-        # in groups, so that the unpivoted rows stay few times the table
-        for first in range(0, len(pairs), 64):
-            some = {f"_pair{k}": c for k, c in list(pairs.items())[first : first + 64]}
+        # only pairs that may beat the best of all, by bounds on what they pass, are counted row by row
+        open_ = may_be_best(seed_bounds(table, pairs, fdr), n)
+        for first in range(0, len(open_), 64):
+            some = {f"_pair{k}": F.get("x", pairs[k][0]) + pairs[k][1] * F.get("x", pairs[k][2]) for k in open_[first : first + 64]}
             wide = table.select(*key, "is_decoy", *(c.alias(f) for f, c in some.items()))
             found, direction, more = best_seed(wide, list(some), key, fdr)
             if more > n:
@@ -325,30 +399,35 @@ def seed_score(table: DataFrame, features: list[str], key: list[str], fdr: float
 
 def semi_supervised(df: DataFrame, features: list[str], key: list[str], model: str = "lda", init_fdr: float = 0.2, train_fdr: float = 0.05, max_iter: int = 5, least_positives: int = 50, start: Column | None = None, skip: tuple[str, ...] = (), **options) -> DataFrame:
     """df with a score. Positives begin as the targets at the FDR by the best seed (or by ``start``),
-    then are those at the FDR by the last out-of-fold scores, until their number changes by less than 1 %."""
-    table = standardised(df, features).cache()
+    then are those at the FDR by the last out-of-fold scores, until their number changes by less than 1 %.
+
+    Scaled features are stored once, with folds that are dealt once; the iterations pass labels and scores only.
+    """
+    own = "_row" in df.columns
+    wide = df if own else stored(df.withColumn("_row", F.monotonically_increasing_id()))
+    table, name = standardised(wide, features), ["_row", *key, "is_decoy"]
     if start is None:
-        scored = seed_score(table, features, key, init_fdr, least_positives, skip)
+        table = stored(table.select(*dict.fromkeys([*name, *features]), "x"))
+        first = seed_score(table, features, key, init_fdr, least_positives, skip)
     else:
-        scored = table.withColumn("score", start)
-    before = None
+        first = table.withColumn("score", start)
+    base = stored(folds(first.select(*name, "x", "score"), ["is_decoy"], key))
+    scored, before = base.select(*name, "score"), None
     for _ in range(max_iter):
         ranked = settled(tdc_q_values(scored, "score", F.col("is_decoy"), key, out="_q"))
         fdr = init_fdr if before is None else train_fdr
-        pool = labelled(ranked, F.col("_q") <= fdr)
-        n = pool.where("label = 1").count()
+        labels = labelled(ranked, F.col("_q") <= fdr)
+        n = labels.where("label = 1").count()
         if n < least_positives:
-            edge = scored.where("not is_decoy").agg(F.percentile("score", F.lit(0.8))).first()[0]
-            pool = labelled(ranked, F.col("score") >= F.lit(edge))
+            edge = quantiles(ranked.where("not is_decoy"), "score", [0.8])[0]
+            labels = labelled(ranked, F.col("score") >= F.lit(edge))
             n = max(n, 1)
         if before is not None and abs(n - before) < 0.01 * before:
             break
         before = n
-        pool = pool.drop("score", "_q")
-        scored = out_of_fold(pool, len(features), model, key, **options).drop("label")
-    scored = settled(scored) if before is None else scored
-    table.unpersist()
-    return scored.drop("x")
+        scored = out_of_fold(base.drop("score"), len(features), model, name, labels=labels.select("_row", "label"), **options)
+    out = wide.join(scored.select("_row", "score"), "_row")
+    return out if own else out.drop("_row")
 
 
 def structure_coefficients(df: DataFrame, features: list[str], score: str = "score") -> DataFrame:
@@ -417,7 +496,7 @@ def two_rounds(df: DataFrame, features: list[str], key: list[str], model: str =
             gaps = {r["feature"]: abs(r["d"]) for r in mean_difference(best, features).collect()}
             middle = float(np.median(list(gaps.values())))
             used = [f for f in features if gaps[f] >= middle] or features
-        edge = best.where("not is_decoy").agg(F.percentile("score_r1", F.lit(1 - seed_share))).first()[0]
+        edge = quantiles(best.where("not is_decoy"), "score_r1", [1 - seed_share])[0]
         start = F.when(F.col("score_r1") >= F.lit(edge), F.col("score_r1") + 1e6).otherwise(F.col("score_r1"))
         second = semi_supervised(best, used, key, model, init_fdr, train_fdr, start=start, skip=skip, **options).withColumnRenamed("score", "score_r2")
     return tdc_q_values(second, "score_r2", F.col("is_decoy"), key)
