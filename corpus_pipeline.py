@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm.common import ensure_checkpoint_dir, read_table
@@ -24,9 +24,15 @@ from massloom.llm.op6_jaccard_join import keep_one_of_each_class
 from massloom.llm.op8_mixing import mix_plan
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns as one, so that their names clash with none of an operator's."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or are outliers go."""
-    return quality_verdicts(docs, docs.columns, wide=True).where("kept").select(*docs.columns)
+    rows = docs.select("text", "lang", "source", whole(docs).alias("row"))
+    return quality_verdicts(rows, ["row"], wide=True).where("kept").select("row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +42,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by a mark; all documents stay."""
-    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = {"n_chars": F.length("text").cast("long").alias("n_chars")}
+    return redact_secrets(docs).select(*(own.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, none to three times. Any column names do."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    plan = mix_plan(docs.select("doc_id", "text", "source", whole.alias("row")), ["row"], wide=True)
+    plan = mix_plan(docs.select("doc_id", "text", "source", whole(docs).alias("row")), ["row"], wide=True)
     return plan.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
