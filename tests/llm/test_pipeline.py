@@ -64,3 +64,18 @@ def test_run_and_odd_tables(spark):
             assert docs.columns == make(spark).columns, name
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         corpus_pipeline.packing(spark, docs, SF).count()
+
+
+def test_columns_of_any_name_pass_through(spark):
+    texts = [" ".join(f"w{i}x{k * (i + 3)}" for k in range(60 if i % 2 else 10)) for i in range(8)]
+    rows = [(i, t, "en", "s", 1, i % 3 == 0, i, "m", "r") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, `a.b` int, `row` string, base_failed string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        if name == "quality_rules":
+            # the stage's own verdict, not the table's column, decides
+            assert sorted(r["doc_id"] for r in docs.collect()) == [1, 3, 5, 7]
+    assert all(r["a.b"] == r["doc_id"] and r["kept"] == (r["doc_id"] % 3 == 0) and r["n_chars"] == len(r["text"]) for r in docs.collect())
+    assert corpus_pipeline.packing(spark, docs, SF).count() > 0
