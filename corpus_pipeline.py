@@ -42,8 +42,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by a mark; all documents stay."""
-    own = {"n_chars": F.length("text").cast("long").alias("n_chars")}
-    return redact_secrets(docs).select(*(own.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return redact_secrets(docs.select("text", others.alias("row"))).select(*(own.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
