@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from massloom.functions.chemistry import NEUTRON, PROTON, averagine_atoms, with_isotope_distribution
 from massloom.operators.conflicts import best_disjoint
 from massloom.operators.ranges import nearest, range_join
+from massloom.operators.splines import fit_spline
 from massloom.operators.storage import settled
 
 
@@ -292,13 +293,18 @@ def deisotoped(intervals: DataFrame, ppm: float = 15.0, charges: tuple[int, ...]
     return intervals.join(gone, "interval_id", "left_anti")
 
 
-def drift_zscore(errors: DataFrame, knots: int = 20) -> DataFrame:
-    """(feature_id, scan, ppm) -> (feature_id, z): median ppm per feature, less a smoothed drift over scan order.
+def drift_zscore(errors: DataFrame, segments: int = 64) -> DataFrame:
+    """(feature_id, scan, ppm) -> (feature_id, z): median ppm per feature, less its drift over scan order.
 
-    The drift is the mean over a window of ranks; fewer than five features give 0.
+    The drift is a smoothing spline; z is the residual less its mean, over its deviation. Fewer than
+    five features, or residuals that hardly vary, give 0.
     """
-    med = errors.groupBy("feature_id").agg(F.percentile("ppm", F.lit(0.5)).alias("m"), F.avg("scan").alias("s"))
-    w = W.orderBy("s", "feature_id").rowsBetween(-knots, knots)
-    t = med.withColumn("r", F.col("m") - F.avg("m").over(w))
-    stats = t.agg(F.stddev_pop("r").alias("_sd"), F.count(F.lit(1)).alias("_n"))
-    return t.crossJoin(F.broadcast(stats)).select("feature_id", F.when((F.col("_n") >= 5) & (F.col("_sd") > 1e-12), F.col("r") / F.col("_sd")).otherwise(0.0).alias("z"))
+    med = settled(errors.groupBy("feature_id").agg(F.percentile("ppm", F.lit(0.5)).alias("m"), F.avg("scan").alias("s")))
+    drift = fit_spline(med, "s", "m", segments)
+    if drift is None:
+        return med.select("feature_id", F.lit(0.0).alias("z"))
+    rest = med.select("feature_id", (F.col("m") - drift.column(F.col("s"))).alias("r"))
+    mean, deviation = rest.agg(F.avg("r"), F.stddev_pop("r")).first()
+    if deviation < 1e-10:
+        return med.select("feature_id", F.lit(0.0).alias("z"))
+    return rest.select("feature_id", F.coalesce((F.col("r") - F.lit(mean)) / F.lit(deviation), F.lit(0.0)).alias("z"))

@@ -81,6 +81,28 @@ def p15_isotope_pattern(s, d):
     return peptide_table.with_masses(peptides(s, d)).select("peptide", *(F.round(c, 5).alias(f"m{k}") for k, c in enumerate(m)))
 
 
+def _series(atom: str) -> list[float]:
+    """Coefficients of the logarithmic derivative of an element's isotope series, by its definition: k r_k less the products before."""
+    heavy = {"C": ["C13"], "H": ["H2"], "N": ["N15"], "O": ["O17", "O18"], "S": ["S33", "S34"]}[atom]
+    r = [1.0] + [C.ABUNDANCE[h] / (1 - sum(C.ABUNDANCE[x] for x in heavy)) for h in heavy] + [0.0] * 9
+    g = [0.0]
+    for k in range(1, 10):
+        g.append(k * r[k] - sum(r[i] * g[k - i] for i in range(1, k)))
+    return g[1:]
+
+
+SERIES_SQL = "[" + ", ".join(" + ".join(f"({ATOM_SQL[a]}) * CAST({_series(a)[k]!r} AS DOUBLE)" for a in C.ATOMS) for k in range(9)) + "]"
+
+
+@query(f"""WITH RECURSIVE {PARTS_SQL}, s0 AS (SELECT DISTINCT peptide, {SERIES_SQL} AS p FROM pep),
+q(peptide, p, k, q) AS (SELECT peptide, p, 0, [CAST(1.0 AS DOUBLE)] FROM s0 UNION ALL SELECT peptide, p, k + 1, list_append(q, list_dot_product(p[1:k + 1], list_reverse(q)) / (k + 1)) FROM q WHERE k < 9)
+SELECT peptide, {", ".join(f"round(q[{k + 1}] / list_sum(q), 6) AS m{k}" for k in range(10))} FROM q WHERE k = 9""")
+def p15_isotope_peaks(s, d):
+    atoms = {a: F.col(f"n_{a}") for a in C.ATOMS}
+    t = C.with_isotope_distribution(peptide_table.with_masses(peptides(s, d)), atoms, 10, "q")
+    return t.select("peptide", *(F.round(F.get("q", k), 6).alias(f"m{k}") for k in range(10)))
+
+
 @query("""
 SELECT p_partkey, CASE WHEN regexp_full_match('sp|' || p_partkey || '|' || p_brand, '(sp|tr|ref)\\|[^|]+.*') THEN split_part('sp|' || p_partkey || '|' || p_brand, '|', 2) END AS accession, upper(regexp_replace(split_part('K.' || replace(p_brand, '#', '') || '[ox]PEP.R', '.', 2), '\\[[^\\]]*\\]', '', 'g')) AS bare FROM part
 """)

@@ -65,6 +65,19 @@ def a8_pearson_pairs(s, d):
     return _rounded(_pairs(s, d).where("a < b").select("a", "b", "r"), 5, "r")
 
 
+@query(f"""WITH {IMG}, e AS (SELECT vec_id AS f, label, pos // 8 AS y, pos % 8 AS x, greatest(v, 0.0) AS v FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS pos FROM embeddings)),
+tic AS (SELECT y, x, sum(v) AS tic FROM i GROUP BY y, x), mask AS (SELECT y, x, tic FROM tic WHERE tic >= (SELECT quantile_cont(tic, 0.25) FROM tic)),
+nrm AS (SELECT f, label, y, x, v / tic AS v FROM e JOIN mask USING (y, x)), cm AS (SELECT f, label, y, x, v - avg(v) OVER (PARTITION BY y, x) AS v FROM nrm),
+z AS (SELECT f, label, list(v ORDER BY y, x) AS v FROM cm GROUP BY f, label), z2 AS (SELECT f, label, v, list_sum(v) AS s, list_dot_product(v, v) AS ss, len(v) AS n FROM z)
+SELECT a.f AS a, b.f AS b, round((a.n * list_dot_product(a.v, b.v) - a.s * b.s) / sqrt(a.n * a.ss - a.s * a.s) / sqrt(b.n * b.ss - b.s * b.s), 5) AS r FROM z2 a JOIN z2 b ON a.label = b.label AND a.f < b.f""")
+def a8_common_mode_pairs(s, d):
+    i = images(s, d)
+    own = table(s, d, "embeddings").select("label", F.col("vec_id").alias("feature_id"))
+    pairs = imaging.partner_pairs(own, "feature_id", "label").where("a < b").select("a", "b")
+    n = own.select("feature_id").distinct().count()
+    return _rounded(imaging.pearson_pairs(i.drop("label"), pairs, 64, imaging.tissue_mask(i, 0.25), True, True, n), 5, "r")
+
+
 @query(f"""WITH {PAIRS}, k AS (SELECT *, sqrt(wa * wb) AS w, row_number() OVER (PARTITION BY label, a ORDER BY sqrt(wa * wb) DESC, r DESC, b) AS k FROM r)
 SELECT label, a AS feature_id, round(avg(r), 4) AS protein_colocalization, round(max(r), 4) AS protein_colocalization_max, round(quantile_cont(r, 0.5), 4) AS protein_colocalization_median, count(*) AS n_partners, round(sum(w * r) / sum(w), 4) AS weighted,
 round(avg(CASE WHEN k <= 2 THEN r END), 4) AS top2, round(avg(CASE WHEN k <= 5 THEN r END), 4) AS top5 FROM k GROUP BY label, a""")
