@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions.chemistry import bare_accession, bare_sequence
 from massloom.operators.lcms import rt_in_minutes
+from massloom.sources import spectra
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -85,80 +86,16 @@ def read_npz_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "channel string, feature_id int, feature_mz double, y int, x int, intensity float")
 
 
-def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """(scan_id, level, rt, precursor_mz, charge, peaks): centroid arrays of 32 or 64 bits, plain or zlib; rt in minutes; charge 2 by default."""
+def read_mzml(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """(scan_id, level, rt, precursor_mz, charge, peaks): centroid arrays, plain or zlib; rt in minutes; charge 2 by default.
+    A file is read by ranges of its bytes, by ``parts`` tasks or as many as its size asks for."""
+    return spectra.read(spark, spectra.MzMLSource, path, parts)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import base64
-        import io
-        import zlib
-        from xml.etree import ElementTree
-
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = []
-                for _, e in ElementTree.iterparse(io.BytesIO(content)):
-                    if not e.tag.endswith("}spectrum") and e.tag != "spectrum":
-                        continue
-                    terms = {c.get("accession"): c for c in e.iter() if c.tag.endswith("cvParam")}
-                    arrays = {}
-                    for b in (x for x in e.iter() if x.tag.endswith("binaryDataArray")):
-                        own = {c.get("accession") for c in b.iter() if c.tag.endswith("cvParam")}
-                        text = next((x.text or "" for x in b.iter() if x.tag.endswith("}binary") or x.tag == "binary"), "")
-                        raw = base64.b64decode(text)
-                        raw = zlib.decompress(raw) if "MS:1000574" in own else raw
-                        values = np.frombuffer(raw, "<f8" if "MS:1000523" in own else "<f4").astype(float)
-                        arrays["mz" if "MS:1000514" in own else "intensity"] = values
-                    mz, level = arrays.get("mz", np.zeros(0)), int(terms["MS:1000511"].get("value", 1)) if "MS:1000511" in terms else 1
-                    rt = terms.get("MS:1000016")
-                    minutes = float(rt.get("value")) / (60 if rt.get("unitName") == "second" else 1) if rt is not None else None
-                    ion, z = terms.get("MS:1000744"), terms.get("MS:1000041")
-                    if len(mz) and not (level == 2 and ion is None):
-                        charge = int(z.get("value")) if z is not None and int(z.get("value")) > 0 else 2
-                        rows.append((int(e.get("index", len(rows))), level, minutes, float(ion.get("value")) if ion is not None else None, charge, [{"mz": a, "intensity": b} for a, b in zip(mz.tolist(), arrays["intensity"].tolist(), strict=True)]))
-                    e.clear()
-                yield pd.DataFrame(rows, columns=["scan_id", "level", "rt", "precursor_mz", "charge", "peaks"])
-
-    schema = "scan_id int, level int, rt double, precursor_mz double, charge int, peaks array<struct<mz: double, intensity: double>>"
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
 
-
-def read_imzml(spark: SparkSession, path: str) -> DataFrame:
+def read_imzml(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
     """(pixel, y, x, mz, intensity, inv_k0): an imzML file and the .ibd beside it; coordinates from 0; mobility NULL where there is none.
-
-    ``path`` names the .imzML; each task reads both files through Spark's binary source.
-    """
-    stem = path.rsplit(".", 1)[0]
-    xml = spark.read.format("binaryFile").load(path).select(F.lit(1).alias("k"), F.col("content").alias("xml"))
-    ibd = spark.read.format("binaryFile").load(f"{stem}.ibd").select(F.lit(1).alias("k"), F.col("content").alias("ibd"))
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xml.etree import ElementTree
-
-        kinds = {"MS:1000521": "<f4", "MS:1000523": "<f8", "MS:1000519": "<i4", "MS:1000522": "<i8"}
-        for pdf in batches:
-            for doc, data in zip(pdf["xml"], pdf["ibd"], strict=True):
-                root = ElementTree.fromstring(doc)
-                local = lambda e: e.tag.rsplit("}", 1)[-1]
-                groups = {}
-                for g in (e for e in root.iter() if local(e) == "referenceableParamGroup"):
-                    names = {c.get("accession") for c in g}
-                    role = "mobility" if "mobility" in g.get("id", "").lower() else "mz" if "MS:1000514" in names else "intensity" if "MS:1000515" in names else None
-                    groups[g.get("id")] = (role, next((kinds[n] for n in names if n in kinds), "<f4"))
-                for n, s in enumerate(e for e in root.iter() if local(e) == "spectrum"):
-                    at = {c.get("accession"): c.get("value") for c in s.iter() if local(c) == "cvParam"}
-                    parts = {}
-                    for b in (e for e in s.iter() if local(e) == "binaryDataArray"):
-                        ref = next((e.get("ref") for e in b if local(e) == "referenceableParamGroupRef"), None)
-                        own = {c.get("accession"): c.get("value") for c in b if local(c) == "cvParam"}
-                        role, kind = groups.get(ref, (None, "<f4"))
-                        if role:
-                            parts[role] = np.frombuffer(data, kind, int(own["IMS:1000103"]), int(own["IMS:1000102"])).astype(float)
-                    if len(parts.get("mz", ())):
-                        yield pd.DataFrame({"pixel": n, "y": int(at["IMS:1000051"]) - 1, "x": int(at["IMS:1000050"]) - 1, "mz": parts["mz"], "intensity": parts["intensity"], "inv_k0": parts.get("mobility", np.full(len(parts["mz"]), np.nan))})
-
-    rows = xml.join(ibd, "k").select("xml", "ibd").mapInPandas(parse, "pixel long, y int, x int, mz double, intensity double, inv_k0 double")
-    return rows.withColumn("inv_k0", F.nullif("inv_k0", F.lit(float("nan"))))
+    Tasks take ranges of the XML and seek their spectra's arrays by offset."""
+    return spectra.read(spark, spectra.ImzMLSource, path, parts)
 
 
 def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
