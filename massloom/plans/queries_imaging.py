@@ -346,7 +346,7 @@ c AS (SELECT *, ccs * sqrt(feature_mz * 28.013 / (feature_mz + 28.013) * 305.0)
 h AS (SELECT CASE WHEN count(abs(k0 - seen)) < 10 THEN 0.05 ELSE 2 * quantile_cont(abs(k0 - seen), 0.95) END AS half FROM c WHERE cal),
 ch(ch, shift) AS (VALUES (0, 0.0), (1, 1.003355), (2, 2.00671), (3, {C.ADDUCTS["na"]}), (4, {C.ADDUCTS["k"]}), (5, {C.ADDUCTS["chca"]})),
 w AS (SELECT DISTINCT feature_idx, ch, CAST(feature_mz AS DOUBLE) + CAST(shift AS DOUBLE) AS q FROM c, ch),
-hit AS (SELECT feature_idx, ch, y, x, inv_k0, CAST(intensity AS DOUBLE) AS v FROM w JOIN pk ON mz >= q * (1 - 26e-6) AND mz <= q * (1 + 26e-6) WHERE abs(mz - q) <= q * 25.0 / 1e6),
+hit AS (SELECT feature_idx, ch, y, x, inv_k0, CAST(intensity AS DOUBLE) AS v FROM (SELECT *, CAST(floor(q / 10) AS BIGINT) + unnest([-1, 0, 1]) AS bk FROM w) w JOIN (SELECT *, CAST(floor(mz / 10) AS BIGINT) AS bk FROM pk) pk USING (bk) WHERE abs(mz - q) <= q * 25.0 / 1e6),
 g AS (SELECT row_id, y, x, sum(CASE WHEN ch = 0 THEN v ELSE 0 END) AS m0, sum(CASE WHEN ch = 1 THEN v ELSE 0 END) AS m1, sum(CASE WHEN ch = 2 THEN v ELSE 0 END) AS m2,
 sum(CASE WHEN ch = 3 THEN v ELSE 0 END) AS na, sum(CASE WHEN ch = 4 THEN v ELSE 0 END) AS k, sum(CASE WHEN ch = 5 THEN v ELSE 0 END) AS chca
 FROM hit JOIN c USING (feature_idx), h WHERE inv_k0 >= k0 - half AND inv_k0 <= k0 + half GROUP BY row_id, y, x)"""
