@@ -463,6 +463,40 @@ def p25_null_fill(s, d):
     return filled(table(s, d, "events").select("event_id", v.alias("a"), v.alias("b"), v.alias("c")), {"a": "col_max", "b": "col_min", "c": 0.0})
 
 
+SIGNALS = "x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / 1e6 AS feature_mz, l_discount * 100 AS ppm_error_abs, l_quantity / 7 AS ppm_best_ratio, l_extendedprice AS feature_intensity_sum, l_tax * 100 - 3 AS theo_isotope_chi2 FROM lineitem)"
+
+
+def _signals(s, d) -> DataFrame:
+    t = table(s, d, "lineitem")
+    return t.select(*LINE_KEY, (F.col("l_extendedprice") / 1e6).alias("feature_mz"), (F.col("l_discount") * 100).alias("ppm_error_abs"), (F.col("l_quantity") / 7).alias("ppm_best_ratio"), F.col("l_extendedprice").alias("feature_intensity_sum"), (F.col("l_tax") * 100 - 3).alias("theo_isotope_chi2"))
+
+
+@query(f"WITH {SIGNALS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ppm_error_abs / greatest(feature_mz, 1.0) * 100, 4) AS ppm_error_pct, round(ppm_error_abs * ppm_error_abs, 4) AS ppm_error_squared, round(ln(1 + ppm_best_ratio), 6) AS log_ppm_best_ratio, 0.0 AS log_maldi_intensity_p90, round(ln(1 + feature_intensity_sum), 6) AS log_maldi_intensity_sum FROM x")
+def p9_p10_errors_and_signals(s, d):
+    from massloom.operators import composition
+
+    t = composition.with_signal_logs(composition.with_derived_errors(_signals(s, d)))
+    digits = {"ppm_error_pct": 4, "ppm_error_squared": 4, "log_ppm_best_ratio": 6, "log_maldi_intensity_p90": 6, "log_maldi_intensity_sum": 6}
+    return t.select(*LINE_KEY, *(F.round(c, n).alias(c) for c, n in digits.items()))
+
+
+@query(f"WITH {SIGNALS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ln(1 + greatest(ppm_best_ratio, 0)), 6) AS ppm_best_ratio, round(ln(1 + greatest(theo_isotope_chi2, 0)), 6) AS theo_isotope_chi2 FROM x")
+def p24_heavy_tails(s, d):
+    from massloom.operators import composition
+
+    t = composition.with_heavy_tails_logged(_signals(s, d))
+    return t.select(*LINE_KEY, *(F.round(c, 6).alias(c) for c in ("ppm_best_ratio", "theo_isotope_chi2")))
+
+
+@query("""WITH x AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 0.0 WHEN user_id % 3 = 1 THEN 1.0 END AS total, CASE WHEN event_id % 4 <> 0 THEN value - 20 END AS r, CASE WHEN event_id % 5 <> 0 THEN 1 END AS n FROM events)
+SELECT event_id, CASE WHEN r IS NULL AND NOT coalesce(total > 0, false) THEN (SELECT min(r) FROM x) ELSE r END AS protein_colocalization_max, n AS protein_colocalization_n_partners FROM x""")
+def p26_no_signal_fill(s, d):
+    from massloom.operators import composition
+
+    t = table(s, d, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, 0.0).when(F.col("user_id") % 3 == 1, 1.0).alias("feature_intensity_sum"), F.when(F.col("event_id") % 4 != 0, F.col("value") - 20).alias("protein_colocalization_max"), F.when(F.col("event_id") % 5 != 0, 1).alias("protein_colocalization_n_partners"))
+    return composition.without_signal_filled(t).drop("feature_intensity_sum")
+
+
 @query("SELECT corr(l_quantity, l_extendedprice) IS NOT NULL AS ok, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
 def m11_structure_coefficient(s, d):
     from massloom.operators.scoring import structure_coefficients
