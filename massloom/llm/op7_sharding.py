@@ -8,8 +8,8 @@ change commits one further manifest by a rename that fails if the number is take
 see whole versions only, writers don't overwrite each other, and files of a failed attempt
 are never live. Shards that a merge replaced are removed once no kept version lists them.
 
-Rows keep all their columns, nulls included; repeated rows stay repeated; an empty table
-makes a store without shards. A null id goes to the first arrival.
+Rows keep all their columns, whatever their names, nulls included; repeated rows stay repeated; an
+empty table makes a store without shards. A null id goes to the first arrival.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from massloom.llm.common import ensure_checkpoint_dir, read_table
 
@@ -152,8 +153,11 @@ class ShardStore:
 def shard_arrivals(docs: DataFrame, folder: str, id_col: str = "doc_id", arrivals: int = 4, target_bytes: int = TARGET_BYTES) -> ShardStore:
     """A store of all rows, which arrive in ``arrivals`` parts by a hash of the id and are compacted after each."""
     store = ShardStore(docs.sparkSession, folder, target_bytes)
-    own = docs.withColumn("_arrival", F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(arrivals)), F.lit(0)).cast("int"))
-    for shards in store.write(own, "_arrival"):
+    arrival, taken = "_arrival", {c.lower() for c in docs.columns}
+    while arrival in taken:
+        arrival += "_"
+    own = docs.withColumn(arrival, F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(arrivals)), F.lit(0)).cast("int"))
+    for shards in store.write(own, arrival):
         store.append(shards)
         store.compact(docs.schema)
     return store
@@ -162,7 +166,9 @@ def shard_arrivals(docs: DataFrame, folder: str, id_col: str = "doc_id", arrival
 def shard_rows(store: ShardStore, schema, id_col: str = "doc_id") -> DataFrame:
     """Per row of the store: its id, and the number, bytes, merges and rows of its shard, and the version."""
     live = store.shards()
-    rows = store.read(schema).select(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("_file")) if live else store.read(schema).select(F.col(id_col).alias("id"), F.lit("").alias("_file"))
+    # only the id is read, so that no column of the rows hides the file's own metadata
+    ids = store.read(StructType([schema[id_col]])).withColumnRenamed(id_col, "id")
+    rows = ids.select("id", F.col("_metadata.file_path").alias("_file")) if live else ids.select("id", F.lit("").alias("_file"))
     # whole paths, as Spark writes them: files of one task share their base name in the folders of all arrivals
     table = store.spark.createDataFrame([(store.uri(s.path), k, s.bytes, s.merges) for k, s in enumerate(live)], "_file string, shard_id int, shard_bytes long, merges int")
     sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("shard_rows"))

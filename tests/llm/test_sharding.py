@@ -69,3 +69,14 @@ def test_odd_and_empty_tables(spark, folder):
     assert S.shard_rows(store, df.schema).count() == len(odd_rows())
     none = S.shard_arrivals(empty(spark), folder + "-none")
     assert S.shard_rows(none, df.schema).count() == 0
+
+
+def test_column_names_of_the_operator_and_of_files_are_free(spark, folder):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.lit("mine").alias("_ARRIVAL"), F.lit(7).alias("_metadata"), F.lit("d").alias("a.b"), F.lit(1).alias("id"), F.lit(2).alias("_file"))
+    store = S.shard_arrivals(docs, folder)
+    back = store.read(docs.schema)
+    assert sorted(back.collect()) == sorted(docs.collect())
+    rows = S.shard_rows(store, docs.schema)
+    assert sorted(r["id"] for r in rows.collect()) == sorted(r["doc_id"] for r in docs.collect())
