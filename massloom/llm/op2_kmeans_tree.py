@@ -137,7 +137,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, v (array of double): vectors that take part."""
     v = F.col(vec_col).cast("array<double>")
     sound = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(sound).select(F.col(id_col).alias("id"), v.alias("v"))
+    return df.where(sound).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def _vectors(column: pa.Array, width: int) -> np.ndarray:

@@ -94,3 +94,13 @@ def test_calibration_aims_well_above_the_contract():
     import inspect
 
     assert K.RECALL >= 0.97 and inspect.signature(K.nearest).parameters["recall"].default == K.RECALL
+
+
+def test_ids_of_any_whole_number_type(spark):
+    from pyspark.sql import functions as F
+
+    from massloom.llm.op2_kmeans_tree import nearest
+
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    want = sorted(nearest(table).collect())
+    assert want and sorted(nearest(table.withColumn("vec_id", F.col("vec_id").cast("int"))).collect()) == want
