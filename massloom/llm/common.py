@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Narrow rows that one file of a checkpoint holds, where their number is known.
 FILE_ROWS = 100_000
-#: Bytes that a file of texts is to have at least, and that a word takes, about, where a table's size is guessed.
-FILE_BYTES, WORD_BYTES = 16 << 20, 6
+#: Bytes that a file of texts is to have at least, and that the texts of a chunk have at most, unless one alone has more.
+FILE_BYTES, CHUNK_BYTES = 16 << 20, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +58,20 @@ def settled(df: DataFrame, rows: int | None = None, **measures: Column) -> tuple
 
 
 def in_large_files(df: DataFrame, size: int, least: int = FILE_BYTES) -> DataFrame:
-    """The table in no more partitions than its size in bytes fills, for tables that are written next."""
-    return df.coalesce(max(1, size // least))
+    """The table in no more partitions than its size in bytes fills, though in one for each core if it
+    has them, for tables that are written next."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, size // least))
+
+
+def chunks(batch: pa.RecordBatch, column: int, rows: int, most_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in its order, of at most so many rows and so many bytes of texts; a longer text is one alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most_bytes, side="right"))
+        end = max(at + 1, min(fits, at + rows, len(batch)))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def words_of(text: Column) -> Column:

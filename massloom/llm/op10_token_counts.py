@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.common import read_table
+from massloom.llm.common import chunks, read_table
 from massloom.llm.tokens import WORD_BPE, WordEncoder
 
 LEAF_CHARS, GROWN = 256, 8
@@ -123,8 +123,7 @@ def plant_trees(docs: DataFrame, keep: list[str], text_col: str = "text", tokeni
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of_worker(tokenizer)
         for whole in batches:
-            for lo in range(0, len(whole), 256):
-                batch = whole.slice(lo, 256)
+            for batch in chunks(whole, whole.num_columns - 1, 256):
                 parts = [cut(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 flat = iter(count_tokens(encoder, [p for ps in parts for p in ps]))
                 of = pa.list_(pa.int32())
@@ -142,8 +141,7 @@ def apply_edits(trees: DataFrame, keep: list[str], edits_col: str = "edits", tok
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of_worker(tokenizer)
         for whole in batches:
-            for lo in range(0, len(whole), 256):
-                batch = whole.slice(lo, 256)
+            for batch in chunks(whole, len(keep), 256):
                 out = []
                 for text, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns[len(keep) :]), strict=True):
                     tree, encoded = CountTree(chars, tokens), 0

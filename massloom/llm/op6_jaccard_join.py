@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.common import WORD_BYTES, cut_lineage, in_large_files, read_table, settled
+from massloom.llm.common import cut_lineage, in_large_files, read_table, settled
 from massloom.llm.graph import components
 from massloom.llm.hashing import WordHasher, mix, shingles
 
@@ -374,7 +374,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class: least id, then least key of the text.
     Rows equal in id and text count as one; texts without shingles all stay. Any column names do."""
-    found, seen = settled(jaccard_classes(docs, id_col, text_col), words=F.sum("n_shingles"))
+    found = cut_lineage(jaccard_classes(docs, id_col, text_col))
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     repeats = found.groupBy("id", "key").count().where("count > 1").limit(1).count()
     own = F.coalesce(F.col("class_node").cast("string"), F.concat_ws(" ", F.lit("-"), F.hex("key"), F.col("id").cast("string")))
     best = found.groupBy(own.alias("own")).agg(F.min(F.struct("id", "key")).alias("best"))
@@ -383,7 +384,7 @@ def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(_id_text(F.col(id_col)).alias("of_id"), text_key(F.col(text_col)).alias("of_key"), whole.alias("row"))
     rows = rows.join(stay, ["of_id", "of_key"], "left_semi")
     rows = rows.dropDuplicates(["of_id", "of_key"]) if repeats else rows
-    return in_large_files(rows, WORD_BYTES * (seen["words"] or 0)).select("row.*")
+    return in_large_files(rows, size).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

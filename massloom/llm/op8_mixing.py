@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from massloom.llm.common import WORD_BYTES, cut_lineage, in_large_files, read_table, settled, words_of
+from massloom.llm.common import cut_lineage, in_large_files, read_table, settled, words_of
 
 #: Passes over a source at most; slices of a source's order; bins of finish time per 1.0.
 PASSES, SLICES, BINS = 3, 4096, 4096
@@ -77,9 +77,13 @@ def mix_plan(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     order = F.md5(F.concat_ws("\u0001", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
     key = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col)))
     own = [F.col(c).alias(f"_keep_{c}") for c in keep]
-    full = docs.select(*own, F.col(source_col).alias("source"), key.alias("key"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), order.alias("order"))
+    full = docs.select(*own, F.col(source_col).alias("source"), key.alias("key"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), order.alias("order"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
     full = full.withColumn("slice", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
-    narrow, seen = settled(full.select("source", "key", "size", "order", "slice"), n=F.count(F.lit(1)), words=F.sum("size"))
+    rows, measures = full.select("source", "key", "size", "order", "slice"), {"n": F.count(F.lit(1)), "words": F.sum("size")}
+    if wide:
+        rows, measures["bytes"] = full.select(*rows.columns, "bytes"), F.sum("bytes")
+    narrow, seen = settled(rows, **measures)
+    full = full.drop("bytes")
     sums = narrow.groupBy("key", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     targets = source_targets(sums.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), passes).select("key", "source_size", "target")
     before = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -91,11 +95,11 @@ def mix_plan(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
         return _finish_times(rows.withColumn("cum", F.col("own") + F.col("before")), passes)
 
     budget = seen["words"] or 0
-    v, o, s = _last_taken(timed(narrow.drop("source")), budget, passes)
+    v, o, s = _last_taken(timed(narrow.drop("source", "bytes")), budget, passes)
     taken = lambda x: (x < v) | ((x == v) & ((F.col("order") < o) | ((F.col("order") == o) & (F.col("size") <= s))))
     copies = F.size(F.filter("finish", taken)).cast("long")
     out = timed(full).withColumn("copies", copies)
-    out = in_large_files(out, WORD_BYTES * budget) if wide else out
+    out = in_large_files(out, seen["bytes"] or 0) if wide else out
     return out.select(*(F.col(f"_keep_{c}").alias(c) for c in keep), *(F.col(c).alias(c + suffix) for c in ("size", "source_size", "target", "copies")), (F.col("copies") * F.col("size")).alias("taken" + suffix))
 
 

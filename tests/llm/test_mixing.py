@@ -70,3 +70,11 @@ def test_odd_and_empty_tables(spark):
     got = mix_plan(odd(spark), odd(spark).columns, suffix="_mix").collect()
     assert len(got) == len(odd_rows()) and all(r["size"] in (1, 7) for r in got)
     assert mix_plan(empty(spark), ["doc_id"]).count() == 0
+
+
+def test_wide_results_are_in_a_partition_for_each_core_at_least(spark):
+    from massloom.llm.common import in_large_files
+
+    rows = spark.range(0, 1000, 1, 64)
+    assert in_large_files(rows, 0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert in_large_files(rows, 20 << 24).rdd.getNumPartitions() == 20
