@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and novelty under a primed zstandard compressor.
 
-Three patterns give the base spans. Beyond them, a candidate is a long mixed run of
-letters and digits near a sensitive word, or glued to it (``access_key=...``). It is compressed
+Three patterns give the base spans. Beyond them, a candidate is a run of 20 or more letters, digits
+and marks that begins within ``reach`` characters of a sensitive word, or is glued to it
+(``access_key=...``); one without digits has 32 letters in a row or more that don't fall into words by
+their case. A candidate is compressed
 behind the ``surround`` characters on either side of it, copies of itself left out, by a
 compressor that is primed with a dictionary: a fixed list of common words, and the parts of the
 corpus's own identifiers and pairs of them, counted over all texts by how many different identifiers they stand
 in (so copies of a text add nothing). The bytes that the candidate adds, per character, measure
 how little of it these explain. Candidates that add nearly as much as random strings of their
-alphabet and length are reported as spans of kind ``novel``.
+alphabet and length are reported as spans of kind ``novel``. A run of more than 512 characters is
+judged as a whole, up to 4096, and in windows of 512, all of them; if any is novel, so is all of the run.
 
 Null texts are empty; long texts are scanned whole, and a secret is reported to its end however
 long it is. Offsets are code points; ends are exclusive. Repeated rows are scanned once each,
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.common import read_table
+from massloom.llm.common import chunks, read_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -89,8 +92,8 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", parts: int =
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                found = {(p, run) for text in batch.column(0).slice(lo, 512).to_pylist() for run in identifiers(text or "") for p in parts_of(run)}
+            for part in chunks(batch, 0, 512):
+                found = {(p, run) for text in part.column(0).to_pylist() for run in identifiers(text or "") for p in parts_of(run)}
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["part", "run"])
 
     runs = docs.select(F.col(text_col).alias("text")).mapInArrow(collect, "part string, run string").distinct()
@@ -127,9 +130,12 @@ class Novelty:
 
 
 #: Alphabets by which a run may be written, smallest first; marks between count as further letters.
-ALPHABETS = ("0-9A-F", "0-9a-f", "0-9A-Fa-f", "A-Z2-7", "a-z2-7", "0-9A-Z", "0-9a-z", "0-9A-Za-z")
+ALPHABETS = ("0-9", "0-9A-F", "0-9a-f", "0-9A-Fa-f", "A-Z", "a-z", "A-Z2-7", "a-z2-7", "0-9A-Z", "0-9a-z", "A-Za-z", "0-9A-Za-z")
 WRITTEN = tuple((re.compile(f"[{a}+/_=-]+"), "".join(c for c in string.digits + string.ascii_letters if re.match(f"[{a}]", c))) for a in ALPHABETS)
-MARKS, MEASURED = "+/_-", 4096
+#: Characters of a run that are judged as one, and of each window of a longer run.
+MARKS, MEASURED, WINDOW = "+/_-", 4096, 512
+#: Letters in a row that a run without digits has at least, and letters of its words by case at most, on average.
+LETTERS, WORD_LETTERS, CASE_WORD = re.compile(r"[A-Za-z]{32,}"), 3.5, re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def written_in(run: str) -> str:
@@ -145,19 +151,52 @@ def value_start(run: str) -> int:
     return at
 
 
-def candidates(text: str, at: int, reach: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs that begin within reach of ``at``, the end of a sensitive word, names left out."""
-    stop = min(len(text), at + reach + MEASURED)
-    if tie := TIE.match(text, at):
+class Runs:
+    """The runs of a text; the last one's place is kept, so that a long run is gone through once."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, (0, 0)
+
+    def end(self, at: int) -> int:
+        """The end of the run that ``at`` is in."""
+        if not self.last[0] <= at < self.last[1]:
+            self.last = (at, CANDIDATE_REST.match(self.text, at).end())
+        return self.last[1]
+
+
+def candidates(text: str, at: int, reach: int, runs: Runs) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs that begin within reach of ``at``, the end of a sensitive word, names left out.
+    Names are looked for in a run's first MEASURED characters."""
+    named = lambda a, b: a + value_start(text[a : min(b, a + MEASURED)])
+    if (tie := TIE.match(text, at)) and CANDIDATE_REST.match(text, tie.end(), tie.end() + 1):
         # the word is part of a run, which no candidate can start within
-        rest = CANDIDATE_REST.match(text, tie.end(), stop)
-        if rest and rest.end() - (start := rest.start() + value_start(rest[0])) >= LEAST:
-            yield start, rest.end()
-    for c in CANDIDATE.finditer(text, at, stop):
-        if c.start() - at > reach:
-            break
-        start = c.start() + value_start(c[0])
-        yield start if c.end() - start >= LEAST else c.start(), c.end()
+        end = runs.end(tie.end())
+        if end - (start := named(tie.end(), end)) >= LEAST:
+            yield start, end
+    here, stop = at, min(len(text), at + reach + LEAST)
+    while (c := CANDIDATE.search(text, here, stop)) and c.start() - at <= reach:
+        # the search ends soon behind the reach, the run where its characters do
+        here = runs.end(c.start())
+        start = named(c.start(), here)
+        yield start if here - start >= LEAST else c.start(), here
+
+
+def pieces(a: int, b: int, known: bool) -> Iterator[tuple[int, int]]:
+    """What of a run from a to b is judged: all of it, or its beginning, if it is short enough for one
+    measure; and windows, unless those of the same run are known."""
+    if b - a <= MEASURED or known:
+        yield a, min(b, a + MEASURED)
+    if b - a > WINDOW and not known:
+        edges = [*range(a, b - LEAST, WINDOW), b]
+        yield from zip(edges[:-1], edges[1:], strict=True)
+
+
+def is_mixed(piece: str) -> bool:
+    """Whether a piece of a run has digits, or enough letters in a row that their case doesn't make words of."""
+    if re.search(r"[0-9]", piece):
+        return True
+    runs = [m[0] for m in LETTERS.finditer(piece)]
+    return any(r.islower() or r.isupper() or len(r) <= WORD_LETTERS * len(CASE_WORD.findall(r)) for r in runs)
 
 
 def covered(base: list[tuple[int, int, int]], a: int, b: int) -> bool:
@@ -179,20 +218,22 @@ def find_spans(text: str, novelty: Novelty, reach: int = REACH, surround: int =
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(spans)
-    end, seen = 0, set()
+    end, judged, seen, runs = 0, 0, set(), Runs(text)
     for m in SENSITIVE.finditer(text):
         # every candidate that begins within reach of a sensitive word, each once
-        for a, b in candidates(text, m.end(), reach):
+        for a, b in candidates(text, m.end(), reach, runs):
             if a < end or (a, b) in seen:
                 continue
             seen.add((a, b))
-            s = text[a:b]
-            if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or covered(base, a, b):
+            if covered(base, a, b):
                 continue
-            if novelty.is_novel(text[max(0, a - surround) : a], s, text[b : b + surround], least_share):
-                # the search sees a run's beginning only; the secret is all of it
-                end = CANDIDATE_REST.match(text, a).end()
-                spans.append((a, 3, end))
+            for x, y in pieces(a, b, b == judged):
+                if is_mixed(text[x:y]) and novelty.is_novel(text[max(0, x - surround) : x], text[x:y], text[y : y + surround], least_share):
+                    end = b
+                    spans.append((a, 3, b))
+                    break
+            else:
+                judged = b
     return sorted(set(spans))
 
 
@@ -215,8 +256,9 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
-    """Per row: the id, the found spans as array of struct(kind, start, end, value)."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE, reach: int = REACH, surround: int = SURROUND) -> DataFrame:
+    """Per row: the id, the found spans as array of struct(kind, start, end, value). ``reach``: characters behind
+    a sensitive word within which a candidate begins; ``surround``: those on either side that may explain it."""
     known = identifier_dictionary(docs, text_col)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
@@ -227,14 +269,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                found.append([{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b]} for a, k, b in find_spans(text, novelty, least_share=least_share)])
+                found.append([{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b]} for a, k, b in find_spans(text, novelty, reach, surround, least_share)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, of)], names=[id_col, "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, spans array<struct<kind: string, start: long, end: long, value: string>>")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns, with every secret in the text replaced by the mark."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", least_share: float = LEAST_SHARE, reach: int = REACH, surround: int = SURROUND) -> DataFrame:
+    """The same rows and columns, with every secret in the text replaced by the mark; settings as in ``scan_secrets``."""
     at, known = docs.columns.index(text_col), identifier_dictionary(docs, text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +284,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for k, text in enumerate(texts):
-                if text and (spans := find_spans(text, novelty)):
+                if text and (spans := find_spans(text, novelty, reach, surround, least_share)):
                     texts[k] = redact(text, spans, mark)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 

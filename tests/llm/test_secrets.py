@@ -126,3 +126,25 @@ def test_a_long_secret_is_reported_to_its_end():
     secret = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=6000))
     text = f"Authorization: Bearer {secret} end"
     assert [text[a:b] for a, _, b in find_spans(text, Novelty())] == [secret]
+
+
+def test_every_window_of_a_long_run_is_judged_and_letters_alone_are_enough():
+    import random
+    import string
+
+    rng, novelty = random.Random(3), Novelty()
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    mixed = string.ascii_letters + string.digits
+    for value in ("A1B2" * 1100 + draw(mixed, 4000), "A1B2" * 1000 + draw(mixed, 1200) + "A1B2" * 9000, draw(string.ascii_letters, 64), draw(string.ascii_lowercase, 64), draw(string.ascii_uppercase, 64)):
+        assert find_spans(f"private key: {value} z", novelty) == [(13, 3, 13 + len(value))]
+    assert find_spans("private key: " + "A1B2" * 30_000, novelty) == []
+    for plain in ("getUserSessionConfigDefaultManagerFactoryClient", "src/main/java/org/example/documentation/handlers", "Donaudampfschifffahrtsgesellschaftskapitaen"):
+        assert find_spans(f"the session key {plain} end", novelty) == []
+
+
+def test_reach_and_surroundings_are_parameters(spark):
+    secret = "9fKx27QmZpL0vTgR41sWbYdNcEaH8uJi"
+    df = spark.createDataFrame([(1, "the key " + "la " * 20 + secret)], "doc_id long, text string")
+    spans = lambda **how: [s["value"] for s in scan_secrets(df, **how).first()["spans"]]
+    assert spans() == [] and spans(reach=80) == [secret]
+    assert redact_secrets(df, reach=80).first()["text"].endswith("la [SECRET]")
