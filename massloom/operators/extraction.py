@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -172,45 +171,6 @@ def recalibrated(df: DataFrame, fit: DataFrame, col: str) -> DataFrame:
     return df.crossJoin(F.broadcast(fit)).withColumn(col, F.col(col) / (1 + (F.col("slope") * F.col(col) + F.col("intercept")) / 1e6)).drop("slope", "intercept")
 
 
-def savgol(width: int, order: int) -> list[float]:
-    """Weights of Savitzky-Golay smoothing at the centre."""
-    h = width // 2
-    a = np.vander(np.arange(-h, h + 1), order + 1, increasing=True)
-    return np.linalg.pinv(a)[0].tolist()
-
-
-def pick_peaks(spectrum: DataFrame, prominence: float = 0.01, width: int = 7, order: int = 2, least_ppm: float = 2.0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (cell, mz, intensity) of spectra (one per key): (interval_id, mz_lo, mz_hi, mz_apex, apex_intensity).
-
-    Smoothing by fixed weights over neighbours, local maxima at or above a share of the highest,
-    bounds at the next lower turning points.
-    """
-    own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    w = own.orderBy("cell")
-    h = width // 2
-    s = None
-    for k, c in zip(range(-h, h + 1), savgol(width, order), strict=True):
-        v = F.coalesce(F.lag("intensity", -k).over(w) if k < 0 else F.lead("intensity", k).over(w), F.col("intensity")) if k else F.col("intensity")
-        s = v * F.lit(c) if s is None else s + v * F.lit(c)
-    t = spectrum.withColumn("s", s)
-    before, after = F.lag("s").over(w), F.lead("s").over(w)
-    t = t.withColumn("_b", before).withColumn("_a", after).withColumn("_top", F.max("s").over(own))
-    t = t.withColumn("_peak", (F.col("s") > F.coalesce("_b", F.lit(-1.0))) & (F.col("s") >= F.coalesce("_a", F.lit(-1.0))) & (F.col("s") >= F.col("_top") * prominence) & (F.col("s") > 0))
-    valley = (F.col("s") <= F.coalesce("_b", F.lit(float("inf")))) & (F.col("s") <= F.coalesce("_a", F.lit(float("inf"))))
-    lo = F.last(F.when(valley, F.col("mz")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    hi = F.last(F.when(valley, F.col("mz")), ignorenulls=True).over(own.orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1))
-    t = t.withColumn("mz_lo", F.coalesce(lo, F.col("mz"))).withColumn("mz_hi", F.coalesce(hi, F.col("mz"))).where("_peak")
-    t = t.where((F.col("mz_hi") - F.col("mz_lo")) / F.col("mz") * 1e6 >= least_ppm)
-    return t.select(*keys, F.row_number().over(own.orderBy("mz")).alias("interval_id"), "mz_lo", "mz_hi", F.col("mz").alias("mz_apex"), F.col("s").alias("apex_intensity"))
-
-
-def without_baseline(spectrum: DataFrame, half: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Less the rolling minimum, smoothed by a rolling mean, not below 0."""
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("cell").rowsBetween(-half, half)
-    t = spectrum.withColumn("_min", F.min("intensity").over(w))
-    return t.withColumn("intensity", F.greatest(F.lit(0.0), F.col("intensity") - F.avg("_min").over(w))).drop("_min")
-
-
 def isotope_envelopes(intervals: DataFrame, ppm: float = 15.0, charges: tuple[int, ...] = (1,), min_score: float = 10.0, scorer: str = "ms_deconv", keys: tuple[str, ...] = (), most_peaks: int = 16) -> DataFrame:
     """Envelopes of averagine peptides that fit a spectrum's peaks: one row per envelope and peak in it.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions import chemistry as C
-from massloom.operators import extraction, imaging, lcms, mobility, ranges, report
+from massloom.operators import extraction, imaging, lcms, mobility, picking, ranges, report
 from massloom.plans.registry import query, table
 
 IMG = "i AS (SELECT vec_id AS feature_id, label, pos // 8 AS y, pos % 8 AS x, v FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS pos FROM embeddings) WHERE v > 0)"
@@ -315,7 +315,7 @@ def a33_a34_region_colocalization(s, d):
 @query()
 def m23_m24_pick_peaks(s, d):
     spectrum = extraction.mean_spectrum(peaks(s, d), 1000, 5.0)
-    return extraction.pick_peaks(extraction.without_baseline(spectrum, 25))
+    return picking.pick_peaks(picking.without_baseline(spectrum, 25))
 
 
 @query()

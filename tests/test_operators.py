@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from massloom.functions import chemistry as C
-from massloom.operators import extraction, imaging, lcms, ordered, peptide_table, ranges, scoring
+from massloom.operators import extraction, imaging, lcms, ordered, peptide_table, picking, ranges, scoring
 
 PROTEIN = "MKWVTFISLLFLFSSAYSRGVFRRDAHKSEVAHRFKDLGEENFKALVLIAFAQYLQQCPFEDHVKLVNEVTEFAKTCVADESAENCDKSLHTLFGDKLCTVATLR"
 
@@ -111,7 +111,7 @@ def test_peaks_are_picked(spark):
     mz = np.arange(200)
     y = 10 * np.exp(-((mz - 60) ** 2) / 18) + 5 * np.exp(-((mz - 140) ** 2) / 18)
     df = spark.createDataFrame([(int(k), float(500 + k * 0.01), float(v)) for k, v in zip(mz, y, strict=True)], "cell int, mz double, intensity double")
-    got = sorted(round(r["mz_apex"], 2) for r in extraction.pick_peaks(df, 0.05).collect())
+    got = sorted(round(r["mz_apex"], 2) for r in picking.pick_peaks(df, 0.05).collect())
     assert got == [500.6, 501.4]
 
 
