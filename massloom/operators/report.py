@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from massloom.operators.ordered import quantiles
+from massloom.operators.storage import settled
+
 
 def fdr_counts(df: DataFrame, q: str = "q_value", levels: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
     """(fdr, n): targets at or below each level."""
@@ -45,9 +48,9 @@ def by_outcome(df: DataFrame, value: str, q: str = "q_value") -> DataFrame:
 
 def histogram(df: DataFrame, value: str, by: str, bins: int = 50, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """(by, bin, n): equal bins between two quantiles of all values; rows beyond them are left out."""
-    ends = df.agg(F.percentile(value, F.lit(lo)).alias("_lo"), F.percentile(value, F.lit(hi)).alias("_hi"))
-    k = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-    return df.crossJoin(F.broadcast(ends)).where((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")) & (F.col("_hi") > F.col("_lo"))).groupBy(by, k.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    low, high = (F.lit(e).cast("double") for e in quantiles(df, value, [lo, hi]))
+    k = F.least(F.floor((F.col(value) - low) / F.nullif(high - low, F.lit(0.0)) * bins), F.lit(bins - 1))
+    return df.where((F.col(value) >= low) & (F.col(value) <= high) & (high > low)).groupBy(by, k.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def occupancy(df: DataFrame, group: str = "feature_idx") -> DataFrame:
