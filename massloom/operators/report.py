@@ -42,8 +42,15 @@ def outcome(q: str = "q_value") -> Column:
 
 
 def by_outcome(df: DataFrame, value: str, q: str = "q_value") -> DataFrame:
-    v = F.col(value)
-    return df.where(v.isNotNull()).groupBy(outcome(q).alias("outcome")).agg(F.count(v).alias("n"), *(F.percentile(value, F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    """(outcome, n, q1, median, q3): exact quartiles, for which no task keeps a class's values; NaN has no place among them."""
+    rows = settled(df.where(F.col(value).isNotNull()).select(outcome(q).alias("outcome"), F.col(value).cast("double").alias("v")))
+    sizes = settled(rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
+    names, out = ("q1", "median", "q3"), {n: F.lit(None).cast("double") for n in ("q1", "median", "q3")}
+    for r in sizes.collect():
+        own = F.col("outcome") == r["outcome"]
+        for n, edge in zip(names, quantiles(rows.where(own), "v", [0.25, 0.5, 0.75]), strict=True):
+            out[n] = F.when(own, F.lit(edge)).otherwise(out[n])
+    return sizes.select("outcome", "n", *(out[n].alias(n) for n in names))
 
 
 def histogram(df: DataFrame, value: str, by: str, bins: int = 50, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
